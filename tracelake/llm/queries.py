@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import runs
+from tracelake.llm import digest, runs
 from tracelake.operators.events import plain_spellings, valid_events
 from tracelake.plans.problem_queries import EVENTS_SQL
 from tracelake.session import table
@@ -21,7 +21,12 @@ def p1_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(trace).join(names, "function_key", "left").withColumnRenamed("plain_name", "func_name").drop("function_key")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs)}
+# 5: percentiles
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return digest.percentiles(table(spark, d, "trace"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles)}
 
 _EDGE = r"[\s\p{Z}\p{C}]+"
 FUNCTION_SQL = rf"nullif(regexp_replace(replace(regexp_replace(lower(regexp_replace(func_name, '^{_EDGE}|{_EDGE}$', '', 'g')), '(?:\(\)|@+[^@\s]*|#[0-9]+)+$', ''), '::', '.'), '{_EDGE}$', ''), '')"
