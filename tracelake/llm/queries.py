@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import digest, runs
+from tracelake.llm import digest, mixing, packing, runs
 from tracelake.operators.events import plain_spellings, valid_events
 from tracelake.plans.problem_queries import EVENTS_SQL
 from tracelake.session import table
@@ -26,7 +26,25 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return digest.percentiles(table(spark, d, "trace"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles)}
+# 8: filling containers
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
+
+
+def p8_fills(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fills(p8_packed(spark, d))
+
+
+# 9: mixing sources
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p8_packed, p8_fills, p9_mix, p9_shares)}
 
 _EDGE = r"[\s\p{Z}\p{C}]+"
 FUNCTION_SQL = rf"nullif(regexp_replace(replace(regexp_replace(lower(regexp_replace(func_name, '^{_EDGE}|{_EDGE}$', '', 'g')), '(?:\(\)|@+[^@\s]*|#[0-9]+)+$', ''), '::', '.'), '{_EDGE}$', ''), '')"
