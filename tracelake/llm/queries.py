@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import digest, mixing, packing, runs
+from tracelake.llm import digest, mixing, packing, runs, truncation
 from tracelake.operators.events import plain_spellings, valid_events
 from tracelake.plans.problem_queries import EVENTS_SQL
 from tracelake.session import table
@@ -44,7 +44,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p8_packed, p8_fills, p9_mix, p9_shares)}
+# 10: texts cut off
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents")).filter("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(truncation.truncated(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p8_packed, p8_fills, p9_mix, p9_shares, p10_found, p10_rates)}
 
 _EDGE = r"[\s\p{Z}\p{C}]+"
 FUNCTION_SQL = rf"nullif(regexp_replace(replace(regexp_replace(lower(regexp_replace(func_name, '^{_EDGE}|{_EDGE}$', '', 'g')), '(?:\(\)|@+[^@\s]*|#[0-9]+)+$', ''), '::', '.'), '{_EDGE}$', ''), '')"
