@@ -1 +1 @@
-
+"""Sources and sinks: trace text, archives, Parquet blocks, output files."""

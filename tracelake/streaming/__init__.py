@@ -1 +1 @@
-
+"""Structured Streaming over folders to which trace files are added."""
