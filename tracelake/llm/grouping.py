@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def grouped_stream(batches: Iterator[pa.RecordBatch], keys: list[str], weight: str | None = None, enough: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -24,8 +25,8 @@ def grouped_stream(batches: Iterator[pa.RecordBatch], keys: list[str], weight: s
             last = [held[-1].column(k)[-1].as_py() for k in keys]
             differs = np.zeros(b.num_rows, bool)
             for k, v in zip(keys, last):
-                col = b.column(k).to_numpy(zero_copy_only=False)
-                differs |= np.array([x is not None for x in col]) if v is None else col != v
+                other = pc.is_valid(b.column(k)) if v is None else pc.fill_null(pc.not_equal(b.column(k), v), True)
+                differs |= other.to_numpy(zero_copy_only=False)
             if differs.any():
                 n = int(differs.argmax())
                 yield joined([*held, b.slice(0, n)] if n else held)
