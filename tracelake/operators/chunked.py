@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 
-from tracelake.session import shuffle_partitions
+from tracelake.session import ship, shuffle_partitions
 
 
 def range_chunks(df: DataFrame, keys: Sequence[str | Column], n: int | None = None) -> DataFrame:
@@ -19,4 +19,5 @@ def range_chunks(df: DataFrame, keys: Sequence[str | Column], n: int | None = No
 
     The number is given, so adaptive execution neither joins nor splits chunks: partition ids are chunk numbers.
     """
+    ship(df.sparkSession)
     return df.repartitionByRange(n or shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)

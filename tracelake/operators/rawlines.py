@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from tracelake.session import ship
+
 # Fixed values of the two line formats.
 CSV_COLUMNS = ["func_name", "cat", "pid", "tid", "time_start", "duration", "hhash", "fhash", "size", "epoch", "is_valid", "note"]
 JSON_REQUIRED = ["name", "cat", "ph", "pid", "tid", "ts", "dur"]
@@ -73,6 +75,7 @@ def load_lines(raw: DataFrame, chunk_bytes: int = 512) -> DataFrame:
     reason `format`. A number that doesn't fit its column (json integers of 64 bits or more) is loaded as
     NULL. Repeated rows stay; further columns are ignored.
     """
+    ship(raw.sparkSession)
     rows = raw.selectExpr("cast(line_id as long)", "cast(file_id as long)", "cast(line_no as int)", "lower(trim(cast(fmt as string))) as fmt", "cast(line as string) as line")
     return rows.mapInArrow(lambda it: _load(it, chunk_bytes), SCHEMA)
 

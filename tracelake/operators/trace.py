@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import scalar as S
 from tracelake.functions import vocab as V
 from tracelake.functions.lines import is_event_line, without_comma
+from tracelake.session import cut
 
 #: Rows up to which a hash dictionary is broadcast; larger ones are joined by key.
 BROADCAST_ROWS = 500_000
@@ -24,8 +25,8 @@ def parse_trace(lines: DataFrame, value: str = "value", mode: str = "analyze") -
 
     mode `analyze`: categories in lower case, sizes from what reads and writes returned, all metadata types.
     mode `replay`: categories as written, args.size and args.offset as they are, file and host hashes only.
-    Numbers may be given as text; what can't be read is NULL (epoch, pid, tid, start: 0). Other columns of
-    `lines` stay.
+    Numbers may be given as text; what can't be read is NULL (epoch, pid, tid, start: 0), and so is an end whose
+    duration isn't a number that fits. Other columns of `lines` stay.
     """
     if mode not in ("analyze", "replay"):
         raise ValueError(f"no such mode: {mode}")
@@ -56,7 +57,7 @@ def parse_trace(lines: DataFrame, value: str = "value", mode: str = "analyze") -
         F.when(kind == 2, value_).otherwise(F.coalesce(get("args.hhash", "string"), F.lit(""))).alias("hhash"),
         F.when((kind != V.REGULAR) & (kind != 2), value_).otherwise(F.coalesce(get("args.fhash", "string"), F.lit(""))).alias("fhash"),
         start.alias("time_start"),
-        (start + dur.cast("long")).alias("time_end"),
+        F.try_add(start, dur.try_cast("long")).alias("time_end"),
         dur.alias("duration"),
         F.lit(1).cast("long").alias("count"),
         get("args.ret", "long").alias("ret"),
@@ -102,8 +103,11 @@ def hash_dictionary(records: DataFrame, hash_column: str, name_column: str) -> D
 
 
 def dictionaries_of(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The file and the host dictionary that a trace's own metadata rows give."""
-    return hash_dictionary(events.filter("type = 1"), "fhash", "func_name"), hash_dictionary(events.filter("type = 2"), "hhash", "func_name")
+    """The file and the host dictionary that a trace's own metadata rows give: one pass over them, materialised."""
+    hash_ = F.when(F.col("type") == 1, F.col("fhash")).otherwise(F.col("hhash"))
+    rows = events.filter("type in (1, 2)").select("type", hash_.alias("hash"), "func_name").filter("hash <> ''")
+    both = cut(rows.groupBy("type", "hash").agg(F.max("func_name").alias("name")))
+    return both.filter("type = 1").drop("type"), both.filter("type = 2").drop("type")
 
 
 def resolve_hashes(events: DataFrame, files: DataFrame, hosts: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -135,7 +139,7 @@ def normalize_time(events: DataFrame, granularity: float = 1e6, resolution: floa
     start = F.col("time_start") - F.lit(first).cast("long")
     return events.withColumn("time_start", start).withColumns(
         {
-            "time_end": F.col("time_start") + F.col("duration").cast("long"),
+            "time_end": F.try_add(F.col("time_start"), F.col("duration").try_cast("long")),
             "duration": F.col("duration") / F.lit(float(resolution)),
             "time_range": S.time_range(F.col("time_start"), granularity),
         }
@@ -182,11 +186,12 @@ def high_level_metrics(events: DataFrame, views: str | Sequence[str] = ("proc_na
     """time, count, size and size bins per views, cat, io_cat (as code), acc_pat and func_name.
 
     Unknown sizes are left out; a group without any has NULL. With `sets`, the views that aren't keys come as
-    sorted arrays of their different values. Durations are added exactly, to a billionth.
+    sorted arrays of their different values. Durations are added exactly, to a billionth; NaN and what is
+    too large for that is left out.
     """
     keys = list(dict.fromkeys([*views_of(views), *V.EXTRA_KEYS]))
     rows = events.withColumn("io_cat", S.io_category_code(F.col("func_name")).cast("string"))
-    aggs = [F.sum(F.col("duration").cast("decimal(28,9)")).cast("double").alias("time"), F.sum("count").alias("count"), F.sum("size").alias("size")]
+    aggs = [F.sum(F.col("duration").try_cast("decimal(28,9)")).cast("double").alias("time"), F.sum("count").alias("count"), F.sum("size").alias("size")]
     aggs += [F.sum(b).alias(b) for b in V.BIN_COLUMNS if b in events.columns]
     if sets:
         aggs += [F.sort_array(F.collect_set(v)).alias(f"{v}_set") for v in ("file_name", "proc_name") if v not in keys and v in events.columns]
@@ -194,7 +199,7 @@ def high_level_metrics(events: DataFrame, views: str | Sequence[str] = ("proc_na
 
 
 def metric_totals(metrics: DataFrame) -> DataFrame:
-    return metrics.agg(F.sum("count").alias("total_count"), F.sum(F.col("time").cast("decimal(28,9)")).cast("double").alias("total_time"), F.sum("size").alias("total_size"), F.count(F.lit(1)).alias("n_groups"))
+    return metrics.agg(F.sum("count").alias("total_count"), F.sum(F.col("time").try_cast("decimal(28,9)")).cast("double").alias("total_time"), F.sum("size").alias("total_size"), F.count(F.lit(1)).alias("n_groups"))
 
 
 def humanized(df: DataFrame) -> DataFrame:

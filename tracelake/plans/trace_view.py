@@ -18,7 +18,7 @@ def raw_events(spark: SparkSession, d: str) -> DataFrame:
     """Events as a parser would give them, before classification."""
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
     start = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, d, "events").select(
+    return table(spark, d, "events").withColumn("k", k).select(
         "event_id",
         F.expr(_FUNC).alias("func_name"),
         F.lower(F.expr(_CAT)).alias("cat"),
@@ -31,7 +31,7 @@ def raw_events(spark: SparkSession, d: str) -> DataFrame:
         (start + F.col("value").cast("long")).alias("time_end"),
         F.col("value").alias("duration"),
         F.lit(1).cast("long").alias("count"),
-        (k * k * k * 1024).alias("ret"),
+        F.expr("k * k * k * 1024").alias("ret"),
         (F.col("event_id") * 512).alias("offset"),
         F.lit(None).cast("long").alias("image_id"),
         F.lit(0).cast("long").alias("epoch"),

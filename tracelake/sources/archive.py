@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.session import ship
+
 PLAIN, GZIP, TAR_GZ = "plain", "gzip", "tar.gz"
 GZIP_MAGIC = b"\x1f\x8b"
 BLOCK = 512
@@ -75,6 +77,7 @@ _LINES = "archive string, file_name string, uncompressed_offset long, member_lin
 
 
 def _archives(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    ship(spark)
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
 
 

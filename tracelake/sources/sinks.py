@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import vocab as V
 from tracelake.functions.lines import is_event_line, without_comma
+from tracelake.session import ship
 
 
 def event_lines(lines: DataFrame) -> DataFrame:
@@ -75,6 +76,7 @@ def write_chunks(tagged: DataFrame, out_dir: str, app: str = "app", compress: bo
     """
     _refuse(out_dir, force)
     os.makedirs(out_dir)
+    ship(tagged.sparkSession)
     suffix = ".pfw.gz" if compress else ".pfw"
     rows = event_lines(tagged).select("chunk", "file", "line_no", "value").repartition("chunk").sortWithinPartitions("chunk", "file", "line_no")
 

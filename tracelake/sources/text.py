@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.lines import is_event_line, is_json_line, without_comma
+from tracelake.session import ship
 
 #: Splits up to which their summary is broadcast: 4 TB of plain files at the default split size.
 BROADCAST_SPLITS = 1_000_000
@@ -36,6 +37,7 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str], pattern: str
     text's size isn't known before it is read, the byte after. Offsets are of the uncompressed text; a carriage
     return before the newline is part of the line.
     """
+    ship(spark)
     r = spark.read.option("lineSep", "\n")
     r = r.option("pathGlobFilter", pattern) if pattern else r
     rows = r.text([path] if isinstance(path, str) else list(path)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.when(~F.lower("_metadata.file_path").rlike(r"\.(gz|gzip)$"), F.col("_metadata.file_size")).alias("size"))
