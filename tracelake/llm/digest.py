@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.grouping import grouped_stream
 from tracelake.operators.events import DAY_US, distinct_events, function_key
-from tracelake.session import cut, shuffle_partitions
+from tracelake.session import cut, ship, shuffle_partitions
 
 DELTA = 1000.0
 PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.99)
@@ -87,6 +87,7 @@ def event_values(trace: DataFrame) -> DataFrame:
 
 def daily_digests(values: DataFrame, delta: float = DELTA, flush_rows: int = 1 << 20, block: int = 64) -> DataFrame:
     """One digest per func, category, day and metric, from `event_values`."""
+    ship(values.sparkSession)
     partial = values.mapInArrow(lambda it: _build(it, delta, flush_rows), _DIGEST)
     if shuffle_partitions(values.sparkSession) > block:  # a hot group has a digest per task: merge blocks of tasks first
         partial = merge_digests(partial.withColumn("part", F.expr(f"part div {int(block)}")), [*_KEYS, "part"], delta)
@@ -95,6 +96,7 @@ def daily_digests(values: DataFrame, delta: float = DELTA, flush_rows: int = 1 <
 
 def merge_digests(digests: DataFrame, keys: Sequence[str], delta: float = DELTA) -> DataFrame:
     """One digest per group of `keys` (further key columns keep any value of the group's)."""
+    ship(digests.sparkSession)
     placed = digests.repartition(*keys).sortWithinPartitions(*keys)
     return placed.mapInArrow(lambda it: _merge(it, list(keys), delta), _DIGEST)
 

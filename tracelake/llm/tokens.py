@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.session import ship
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -29,6 +31,7 @@ def encoding(path: str = TOKENIZER):
 
 def with_tokens(docs: DataFrame, text: str = "text", path: str = TOKENIZER) -> DataFrame:
     """`docs` with n_tokens of the whole text; NULL and empty texts have 0. The text itself is dropped."""
+    ship(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (text, "n_tokens")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,6 +54,8 @@ def sized_vectors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     near cells one after another.
     """
 
+    ship(docs.sparkSession)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         signs = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (enc.max_token_value + 1, DIMENSIONS))
