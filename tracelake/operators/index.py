@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.chunked import running
+
 WINDOW, MAX_CHECKPOINT, MAX_PARTS = 32 << 10, 512 << 20, 100_000_000
 DEFAULT_CHECKPOINT = 32 << 20
 TEXT_RATIO, OTHER_RATIO = 8.0, 6.0
@@ -83,14 +85,15 @@ def without_files(rows: DataFrame, gone: DataFrame, key: str = "file") -> DataFr
 def checkpoint_asof(checkpoints: DataFrame, targets: DataFrame, file: str = "file") -> DataFrame:
     """Per target (file, target): the last checkpoint at or before it; NULL where there is none.
 
-    Checkpoints and targets are put in one order per file, and the last checkpoint seen is carried along: no
-    pair of a target with each earlier checkpoint is made. A file's rows are sorted and streamed in one task.
+    Checkpoints and targets are put in one order by file and offset, and the last checkpoint seen is carried
+    along: no pair of a target with each earlier checkpoint is made, and a file of any size is shared by several
+    tasks.
     """
-    c = checkpoints.select(file, F.col("uc_offset").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("target"), F.struct("checkpoint_idx", "uc_offset").alias("c"))
-    t = targets.select(file, F.col("target").alias("at"), F.lit(1).alias("kind"), "target", F.lit(None).cast(c.schema["c"].dataType).alias("c"))
-    order = Window.partitionBy(file).orderBy("at", "kind", F.col("c.checkpoint_idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = c.unionByName(t).withColumn("c", F.last("c", ignorenulls=True).over(order)).filter("kind = 1")
-    return seen.select(file, "target", F.col("c.checkpoint_idx").alias("checkpoint_idx"), F.col("c.uc_offset").alias("uc_offset"))
+    none = F.lit(None).cast("long")
+    c = checkpoints.select(file, F.col("uc_offset").alias("at"), F.lit(0).alias("kind"), none.alias("target"), "checkpoint_idx", "uc_offset")
+    t = targets.select(file, F.col("target").alias("at"), F.lit(1).alias("kind"), "target", none.alias("checkpoint_idx"), none.alias("uc_offset"))
+    seen = running(c.unionByName(t), [file], ["at", "kind"], {"checkpoint_idx": ("checkpoint_idx", "last"), "uc_offset": ("uc_offset", "last")})
+    return seen.filter("kind = 1").select(file, "target", "checkpoint_idx", "uc_offset")
 
 
 def checkpoints_overlapping(checkpoints: DataFrame, first: int | Column, last: int | Column) -> DataFrame:

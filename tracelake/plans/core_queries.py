@@ -12,6 +12,7 @@ from tracelake.functions import scalar as S
 from tracelake.functions import vocab as V
 from tracelake.operators import chunking, index, replay
 from tracelake.operators import trace as T
+from tracelake.operators.chunked import running
 from tracelake.plans import trace_view as W
 from tracelake.session import table
 from tracelake.sources import archive, text
@@ -238,12 +239,10 @@ def hlm_epoch(spark, d):
 
 # Lines, ranges, chunks. A file's lines come numbered in raw_lines; offsets follow from their bytes.
 def _numbered(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = table(spark, d, "raw_lines").select(F.col("file_id").alias("file"), F.col("line_no").cast("long").alias("line_no"), F.col("line").alias("value"))
-    end = F.sum(F.octet_length("value") + 1).over(order)
-    return rows.withColumn("newline", end - 1).withColumn("begin", F.col("newline") - F.octet_length("value"))
+    ended = running(rows.withColumn("size", F.octet_length("value") + 1), ["file"], ["line_no"], {"end": ("size", "sum")})
+    newline = F.col("end") - 1
+    return ended.select("file", "line_no", "value", (newline - F.col("size") + 1).alias("begin"), newline.alias("newline"))
 
 
 _NUMBERED = """n AS (SELECT file_id AS file, CAST(line_no AS BIGINT) AS line_no, line AS value,

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.chunked import running
 from tracelake.session import ship
 
 PLAIN, GZIP, TAR_GZ = "plain", "gzip", "tar.gz"
@@ -135,11 +136,10 @@ def logical_offsets(members: DataFrame, archive: str = "archive") -> DataFrame:
     """Members with logical_begin and logical_end, their bytes in the archive's contents laid end to end.
 
     Members come in the order of uncompressed_offset (data_offset and name for ties); unknown sizes count as 0.
+    An archive with most of all members is shared by several tasks.
     """
-    order = Window.partitionBy(archive).orderBy("uncompressed_offset", "data_offset", "file_name")
-    size = F.coalesce(F.col("file_size"), F.lit(0))
-    end = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return members.withColumn("logical_end", end).withColumn("logical_begin", F.col("logical_end") - size)
+    out = running(members, [archive], ["uncompressed_offset", "data_offset", "file_name"], {"logical_end": ("file_size", "sum")})
+    return out.withColumn("logical_begin", F.col("logical_end") - F.coalesce(F.col("file_size"), F.lit(0)))
 
 
 def tar_logical_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
