@@ -47,6 +47,7 @@ BIN_LABELS = [
     "<4 KiB", "4 KiB - 16 KiB", "16 KiB - 64 KiB", "64 KiB - 256 KiB", "256 KiB - 1 MiB", "1 MiB - 4 MiB", "4 MiB - 16 MiB", "16 MiB - 64 MiB", "64 MiB - 256 MiB", "256 MiB - 1 GiB",
     "1 GiB - 4 GiB", ">4 GiB",
 ]
+BIN_NAMES = ["<4 kiB", "4 KiB", "16 KiB", "64 KiB", "256 KiB", "1 MiB", "4 MiB", "16 MiB", "64 MiB", "256 MiB", "1 GiB", ">4 GiB"]
 BIN_COLUMNS = [f"size_bin_{s}" for s in BIN_SUFFIXES]
 
 # Names for readers.
@@ -62,6 +63,9 @@ VIEW_LABELS = {
     "app_name": "App", "file_dir": "File Directory", "file_name": "File", "file_pattern": "File Pattern", "node_name": "Node", "proc_name": "Process", "rank": "Rank", "time_range": "Time Period",
 }
 VIEWS = ["file_name", "proc_name", "time_range"]
+LOGICAL_VIEWS = {"file_name": ["file_dir", "file_pattern"], "proc_name": ["app_name", "host_name", "proc_id", "thread_id"]}
+IO_TYPES, COMPACT_IO_TYPES = ["read", "write", "metadata"], ["R", "W", "M"]
+DERIVED_METADATA_OPERATIONS, ACCESS_PATTERNS = ["close", "open", "seek", "stat"], {"SEQUENTIAL": 0, "RANDOM": 1}
 EXTRA_KEYS = ["cat", "io_cat", "acc_pat", "func_name"]
 EPOCH_CATEGORY, EPOCH_NAMES = "pipeline", ["epoch", "epoch.block"]
 TYPE_CODES = {"FH": 1, "HH": 2, "SH": 3, "PR": 4}

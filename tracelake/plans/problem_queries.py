@@ -79,13 +79,20 @@ EVENTS_SQL = """ev AS (
   SELECT * FROM trace WHERE is_valid IS DISTINCT FROM false
   QUALIFY event_id IS NULL OR row_number() OVER (PARTITION BY event_id ORDER BY ingested_at NULLS FIRST) = 1)"""
 _CONTENTS_SQL = """c AS (
-  SELECT 'files' AS src_table, min(id) AS id, count(*) AS n_rows, any_value(byte_size) AS byte_size FROM files
+  SELECT 'files' AS src_table, min(id) AS id, arg_min(logical_name, id) AS name, count(*) AS n_rows, any_value(byte_size) AS byte_size FROM files
   WHERE byte_size BETWEEN 1 AND 65535 AND id IS NOT NULL
   GROUP BY byte_size, hash, CASE WHEN hash IS NULL OR hash = 0 THEN id END
   UNION ALL
-  SELECT 'tar_files', min(id), count(*), any_value(file_size) FROM tar_files
+  SELECT 'tar_files', min(id), arg_min(file_name, id), count(*), arg_min(file_size, id) FROM tar_files
   WHERE file_size BETWEEN 1 AND 65535 AND id IS NOT NULL AND trim(coalesce(typeflag, '')) IN ('', '0')
   GROUP BY archive_id, data_offset, CASE WHEN archive_id IS NULL OR data_offset IS NULL THEN id END)"""
+# The plan of up to a million contents, which are one lane.
+_PLAN_SQL = f"""{_CONTENTS_SQL}, k AS (SELECT *, CASE WHEN regexp_matches(lower(name), '\\.(gz|gzip|tgz)$') THEN 'gzip' WHEN regexp_matches(lower(name), '\\.parquet$') THEN 'parquet'
+  WHEN regexp_matches(lower(name), '\\.(pfw|jsonl|ndjson|json|csv|txt)$') THEN 'lines' ELSE 'other' END AS kind FROM c),
+p AS (SELECT *, CAST(sum(byte_size) OVER (PARTITION BY kind ORDER BY name NULLS FIRST, src_table, id ROWS UNBOUNDED PRECEDING) AS BIGINT) - byte_size AS pos FROM k),
+s AS (SELECT *, pos // 134217728 AS slot FROM p),
+plan AS (SELECT *, printf('%s-%05d-%06d', kind, 0, slot) AS target_file, pos - min(pos) OVER (PARTITION BY kind, slot) AS target_offset,
+  CAST(sum(byte_size) OVER (PARTITION BY kind, slot) AS BIGINT) AS target_bytes FROM s)"""
 _TOTALS_SQL = f"""WITH {EVENTS_SQL}, kv AS (
   SELECT 'fhash' AS field, fhash AS hot_key, duration, size FROM ev UNION ALL SELECT 'func_name', func_name, duration, size FROM ev),
 t AS (SELECT field, hot_key, count(*) AS n_events,
@@ -103,7 +110,27 @@ j AS (SELECT refs.ref_table, event_id, time_start, count(recs.ref_table) AS n,
   FROM refs LEFT JOIN recs ON refs.ref_table = recs.ref_table AND refs.h = recs.h GROUP BY ALL),
 o AS (SELECT ref_table, event_id, time_start, CASE WHEN n = 0 THEN 'missing' WHEN started > 0 THEN 'deleted' ELSE 'late' END AS reason FROM j WHERE alive = 0)"""
 
+# A csv field, its value within, and the value's rules, in the order of the columns.
+_FIELD = r'[ \t]*"(?:[^"]|"")*"[ \t]*|[^",]*'
+_VALUE = lambda c: f"""trim(CASE WHEN trim(f.{c}, ' ' || chr(9)) LIKE '"%' THEN replace(trim(f.{c}, ' ' || chr(9))[2:-2], '""', '"') ELSE f.{c} END, ' ' || chr(9))"""
+_CSV_OK = " AND ".join(f"regexp_full_match({_VALUE(c)}, '{rule.removeprefix('^').removesuffix('$') if '(?i)' not in rule else '(?i)(true|false)'}', 's')" for c, rule in ((c, r.replace("(?s)^", "^")) for c, r in rawlines.CSV_RULES.items()))
+_HAS = " AND ".join(f"json_exists(b, '$.{k}')" for k in rawlines.JSON_REQUIRED)
+_WHOLE = lambda k: f"(json_type(b, '$.{k}') IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT') AND NOT starts_with(json_extract_string(b, '$.{k}'), '-'))"
+_NAMED = lambda k: f"(json_type(b, '$.{k}') = 'VARCHAR' AND NOT regexp_full_match(json_extract_string(b, '$.{k}'), '\\s*'))"
+_JSON_OK = f"""{_NAMED("name")} AND {_NAMED("cat")} AND json_type(b, '$.ph') = 'VARCHAR' AND json_extract_string(b, '$.ph') IN ('X', 'M') AND {_WHOLE("pid")} AND {_WHOLE("tid")} AND {_WHOLE("ts")}
+  AND json_type(b, '$.dur') IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') AND TRY_CAST(json_extract_string(b, '$.dur') AS DOUBLE) >= 0 AND coalesce(json_type(b, '$.args'), 'OBJECT') = 'OBJECT'"""
+_LINES_SQL = f"""WITH t AS (SELECT line_id, fmt, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS x FROM raw_lines),
+u AS (SELECT line_id, fmt, x, regexp_replace(x, ',$', '') AS b FROM t
+  WHERE x NOT IN ('', '[', ']', '{{', '}}', '][') AND NOT (fmt = 'csv' AND x = '{",".join(rawlines.CSV_COLUMNS)}')),
+csv AS (SELECT line_id, x, regexp_full_match(x, '(?:{_FIELD})(?:,(?:{_FIELD}))*', 's') AS sound, len(string_split(regexp_replace(x, '"(?:[^"]|"")*"', '', 'gs'), ',')) AS n FROM u WHERE fmt = 'csv'),
+cut AS (SELECT line_id, regexp_extract(x, '^{",".join([f"({_FIELD})"] * 12)}$', [{", ".join(f"'{c}'" for c in rawlines.CSV_COLUMNS)}], 's') AS f FROM csv WHERE sound AND n = 12),
+js AS (SELECT line_id, b, CASE WHEN NOT json_valid(b) THEN 'syntax' WHEN json_type(b) <> 'OBJECT' THEN 'syntax' WHEN NOT ({_HAS}) THEN 'columns' WHEN NOT ({_JSON_OK}) THEN 'value' END AS reason FROM u WHERE fmt = 'json')
+SELECT line_id, CASE WHEN NOT sound THEN 'quoting' ELSE 'columns' END AS reason FROM csv WHERE NOT sound OR n <> 12
+UNION ALL SELECT line_id, 'value' FROM cut WHERE NOT ({_CSV_OK})
+UNION ALL SELECT line_id, reason FROM js WHERE reason IS NOT NULL"""
+
 SQL = {
+    "p3_found": _LINES_SQL,
     "p2_found": """WITH iv AS (SELECT pid, epoch, time_start AS s, time_end AS e FROM trace
   WHERE is_valid IS DISTINCT FROM false AND epoch >= 1 AND time_end >= time_start),
 m AS (SELECT *, max(e) OVER (PARTITION BY pid, epoch ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM iv),
@@ -112,6 +139,9 @@ p AS (SELECT pid, epoch, g, min(s) AS s, max(e) AS e FROM n GROUP BY pid, epoch,
 SELECT pid, epoch, 'period' AS kind, s AS from_time, e AS to_time FROM p
 UNION ALL SELECT pid, epoch, 'gap', e, nxt FROM (SELECT pid, epoch, e, lead(s) OVER (PARTITION BY pid, epoch ORDER BY g) AS nxt FROM p) WHERE nxt IS NOT NULL""",
     "p4_found": f"WITH {_CONTENTS_SQL} SELECT src_table, id FROM c",
+    "p4_plan": f"WITH {_PLAN_SQL} SELECT src_table, id, name, byte_size, n_rows, target_file, target_offset, target_bytes FROM plan",
+    "p4_targets": f"""WITH {_PLAN_SQL} SELECT target_file, count(*) AS n_contents, CAST(sum(n_rows) AS BIGINT) AS n_records, CAST(sum(byte_size) AS BIGINT) AS n_bytes,
+  CAST(max(target_offset + byte_size) - sum(byte_size) AS BIGINT) AS holes FROM plan GROUP BY target_file""",
     "p6_totals": f"{_TOTALS_SQL} SELECT * FROM t",
     "p6_found": f"{_TOTALS_SQL} SELECT field, hot_key FROM t WHERE hot_key <> '' AND n_events * 50 >= (SELECT count(*) FROM ev)",
     "p7_found": f"{_ORPHANS_SQL} SELECT ref_table, event_id, reason FROM o",
