@@ -118,3 +118,18 @@ def test_replay(spark):
     s = replay.replay_statistics(replay.replay_plan(df))
     assert replay.replay_status(s).first().exit_code == 2
     assert {(r.dimension, r.name): r.total for r in s.collect()} == {("function", "read"): 2, ("function", "mmap"): 1, ("function", "x"): 1, ("category", "posix"): 3, ("category", "STDIO"): 1, ("all", ""): 4}
+
+
+def test_clashing_and_missing_columns(spark):
+    clash = lines(spark).withColumn("cat", F.lit("old")).withColumn("size", F.lit(-7)).withColumn("size_bin_0_4kib", F.lit(1))
+    assert [r.cat for r in T.parse_trace(clash).filter("n = 14").collect()] == ["posix"]
+    e = T.parse_trace(clash).withColumn("file_name", F.lit("old")).withColumn("host_name", F.lit("old"))
+    assert T.analyze(e, "file_name").count() == 4
+    nothing = spark.createDataFrame([(None,), ("",)], "value string")
+    assert T.parse_trace(nothing).count() == 0 and T.analyze(T.parse_trace(nothing)).count() == 0
+
+
+def test_odd_numbers(spark):
+    text = ['{"name":"a","cat":"c","ts":9223372036854775807,"dur":1e300}', '{"name":"a","cat":"c","ts":"5","dur":"NaN"}', '{"name":"a","cat":"c","ts":-3,"dur":-2.5,"pid":"x"}', '{"name":1,"cat":[1],"ts":{},"dur":null}']
+    df = T.parse_trace(spark.createDataFrame([(t,) for t in text], "value string")).collect()
+    assert [(r.time_start, r.time_end, r.pid) for r in df] == [(2**63 - 1, None, 0), (5, None, 0), (-3, -5, 0), (0, 0, 0)]

@@ -77,7 +77,7 @@ def tag_lines(numbered: DataFrame, plan: DataFrame, keep: Sequence[str] = ("valu
     """chunk, file, line_no and `keep` of every planned line. Small plans are broadcast, larger ones joined by file."""
     small = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     p = plan.select("chunk", "file", "start_line", "end_line")
-    joined = numbered.join(F.broadcast(p) if small else p, "file").filter(F.col("line_no").between(F.col("start_line"), F.col("end_line")))
+    joined = numbered.select("file", "line_no", *keep).join(F.broadcast(p) if small else p, "file").filter(F.col("line_no").between(F.col("start_line"), F.col("end_line")))
     return joined.select("chunk", "file", "line_no", *keep)
 
 

@@ -104,7 +104,7 @@ def checkpoints_overlapping(checkpoints: DataFrame, first: int | Column, last: i
 def max_bytes(checkpoints: DataFrame, totals: DataFrame, file: str = "file") -> DataFrame:
     """file, max_bytes: the end of the last checkpoint, or the total where there is none."""
     ends = checkpoints.groupBy(file).agg(F.max(F.col("uc_offset") + F.col("uc_size")).alias("e"))
-    return totals.join(ends, file, "left").select(file, F.coalesce(F.nullif("e", F.lit(0)), F.col("total_bytes")).alias("max_bytes"))
+    return totals.select(file, "total_bytes").join(ends, file, "left").select(file, F.coalesce(F.nullif("e", F.lit(0)), F.col("total_bytes")).alias("max_bytes"))
 
 
 def archive_lookup(archives: DataFrame, files: DataFrame, members: DataFrame | None = None) -> DataFrame:

@@ -57,6 +57,6 @@ def planned_elapsed(events: DataFrame, file: str, order: str, scale: float = 1.0
     The first events are one row per file, found by an aggregate and joined: no file is sorted in one task.
     """
     first = events.groupBy(file).agg(F.min_by("time_start", order).alias("_tl_first"))
-    rows = events.join(first, file)
+    rows = events.drop("elapsed_us", "longest_wait_us").join(first, file)
     elapsed = ((F.col("time_start") - F.col("_tl_first")) * F.lit(float(scale))).cast("long")
     return rows.withColumn("elapsed_us", elapsed).withColumn("longest_wait_us", F.least(F.greatest(F.col("elapsed_us"), F.lit(0)), F.lit(LONGEST_SLEEP_US)).cast("long")).drop("_tl_first")

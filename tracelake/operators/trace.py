@@ -16,6 +16,7 @@ from tracelake.functions import vocab as V
 from tracelake.functions.lines import is_event_line, without_comma
 from tracelake.session import cut
 
+PARSED = {"type", "func_name", "cat", "ph", "pid", "tid", "hhash", "fhash", "time_start", "time_end", "duration", "count", "ret", "offset", "image_id", "epoch", "io_cat", "size", "acc_pat", *V.BIN_COLUMNS}
 #: Rows up to which a hash dictionary is broadcast; larger ones are joined by key.
 BROADCAST_ROWS = 500_000
 
@@ -26,11 +27,11 @@ def parse_trace(lines: DataFrame, value: str = "value", mode: str = "analyze") -
     mode `analyze`: categories in lower case, sizes from what reads and writes returned, all metadata types.
     mode `replay`: categories as written, args.size and args.offset as they are, file and host hashes only.
     Numbers may be given as text; what can't be read is NULL (epoch, pid, tid, start: 0), and so is an end whose
-    duration isn't a number that fits. Other columns of `lines` stay.
+    duration isn't a number that fits. Other columns of `lines` stay, but those named like parsed ones.
     """
     if mode not in ("analyze", "replay"):
         raise ValueError(f"no such mode: {mode}")
-    keep = [F.col(f"`{c}`") for c in lines.columns if c != value]
+    keep = [F.col(f"`{c}`") for c in lines.columns if c != value and c not in PARSED]
     doc = F.try_parse_json(without_comma(F.col(value)))
     rows = lines.filter(is_event_line(F.col(value))).select(*keep, doc.alias("_tl_j")).filter("_tl_j is not null")
     get = lambda path, kind: F.try_variant_get("_tl_j", f"$.{path}", kind)
@@ -116,7 +117,7 @@ def resolve_hashes(events: DataFrame, files: DataFrame, hosts: DataFrame, broadc
     A dictionary is broadcast after a count shows it has at most `broadcast_rows` rows; a larger one is joined
     by key, where adaptive execution splits hot keys.
     """
-    out = events
+    out = events.drop("file_name", "host_name")
     for dictionary, key, name in ((files, "fhash", "file_name"), (hosts, "hhash", "host_name")):
         d = dictionary.select(F.col("hash").alias(key), F.col("name").alias(name))
         small = d.limit(broadcast_rows + 1).count() <= broadcast_rows
