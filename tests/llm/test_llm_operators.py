@@ -217,7 +217,7 @@ def test_mix(spark):
     assert {x.source for x in got} == {"big", "small"} and all(1 <= x.copies <= {"big": 1, "small": 3}[x.source] for x in got)
     total = sum(len(tokens.encoding().encode_ordinary(t or "")) for _, _, t in rows + rows[:50])
     for s in shares.collect():
-        assert abs(s.mix_tokens - s.reachable_share * total) <= 31
+        assert abs(s.mix_tokens - s.reachable_share * total) <= 3
         assert s.mix_tokens == sum(x.in_mix_tokens for x in got if x.source == s.source)
     assert abs(sum(s.actual_share for s in shares.collect()) - 1) < 1e-9
     again = mixing.mix(docs.repartition(7), targets)[0]

@@ -2,13 +2,16 @@
 
 A source's share of the mix says how often its documents occur on average. The whole part is taken as
 copies of every document; the rest is a sample without replacement: documents are ranked by their random
-odds divided by their inclusion odds, and the first ones that fill the missing size are taken.
+odds divided by their inclusion odds, and the first ones that fill the missing size are taken. A gap that the
+next document is too large for is filled by the ones ranked after it that fit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from tracelake.llm.tokens import TOKENIZER, with_tokens
 from tracelake.session import cut
 
 BUCKETS = 4096
+#: Documents at least that are looked at to fill a source's last gap.
+FILL_DOCS = 1000
 MAX_SOURCES = 10_000
 
 
@@ -42,12 +47,26 @@ def allocate(total: float, targets: Mapping[str, tuple[float, int, float]]) -> d
     return given
 
 
+def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Take documents by rank while they fit into what is left, then the one that brings the sum nearest, if any does."""
+    pdf = pdf.sort_values(["rank", "doc_id", "n_tokens"]).reset_index(drop=True)
+    left, sizes = float(pdf["left"].iloc[0]), pdf["n_tokens"].to_numpy()
+    take = np.zeros(len(sizes), np.int32)
+    for i, n in enumerate(sizes):
+        if n <= left:
+            take[i], left = 1, left - n
+    rest = np.flatnonzero(take == 0)
+    if len(rest) and sizes[rest].min() - left < left:
+        take[rest[sizes[rest].argmin()]] = 1
+    return pdf[["doc_id", "source", "n_tokens", "whole"]].assign(extra=take)
+
+
 def mix(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(drawn, shares). drawn: doc_id, source, n_tokens, copies (>= 1), in_mix_tokens. shares: see below.
 
     The mix is as large as all documents together (in tokens of the whole text). Of every source of `targets`
-    (source, target_share, max_repeats) it holds what `allocate` says, to within half a document; sources that
-    `targets` doesn't name, and documents without a source, give nothing. A document's draw depends on its id and
+    (source, target_share, max_repeats) it holds what `allocate` says, but for a gap that no document at the edge of
+    the sample fits into; sources that `targets` doesn't name, and documents without a source, give nothing. A document's draw depends on its id and
     the seed only. Repeated rows are drawn like different documents. NULL and empty texts have size 0. Should a
     source be named twice, the row with the smaller share and repeats holds. `targets` is a setting, refused
     beyond MAX_SOURCES.
@@ -77,18 +96,22 @@ def mix(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: int =
         rest = want - copies * size if copies < most and size else 0.0
         plan.append((s, copies, float(rest), min(max(rest / size if size else 0.0, 1e-12), 1 - 1e-12)))
     plan_df = F.broadcast(spark.createDataFrame(plan or [("", 0, 0.0, 0.5)], "source string, whole int, rest double, pi double"))
-    upto = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    hist = hist.withColumns({"before": upto("tokens"), "docs_before": upto("docs")})
     edges = (
-        hist.withColumn("before", upto).join(plan_df, "source").filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("tokens") > F.col("rest")) & (F.col("rest") > 0))
-        .groupBy("source").agg(F.max(F.struct("bucket", "before")).alias("e")).select("source", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before"))
+        hist.join(plan_df, "source").filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("tokens") > F.col("rest")) & (F.col("rest") > 0))
+        .groupBy("source").agg(F.max(F.struct("bucket", "before", "docs_before")).alias("e"))
     )
+    zones = hist.join(F.broadcast(edges), "source").filter((F.col("bucket") >= F.col("e.bucket")) & (F.col("docs_before") - F.col("e.docs_before") < FILL_DOCS))
+    zones = zones.groupBy("source").agg(F.first("e.bucket").alias("edge"), F.first("e.before").alias("before"), F.max("bucket").alias("zone"))
     # Within a source all inclusion odds are equal, so the rank's order is that of the random numbers and whole
-    # buckets lie before or after the edge; only the edge's bucket is put in order.
-    ranked = sized.join(plan_df, "source").join(F.broadcast(edges), "source", "left").withColumn("rank", (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi"))))
-    at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    clear = ranked.filter(~at_edge).withColumn("extra", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)).cast("int"))
-    near = ranked.filter(at_edge).withColumn("extra", (F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
+    # buckets lie before or after the edge; only the buckets at the edge are put in order.
+    ranked = sized.join(plan_df, "source").join(F.broadcast(zones), "source", "left").withColumn("rank", (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi"))))
+    at_edge = F.coalesce(F.col("bucket").between(F.col("edge"), F.col("zone")), F.lit(False))
+    clear = ranked.filter(~at_edge).select("doc_id", "source", "n_tokens", "whole", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)).cast("int").alias("extra"))
+    near = ranked.filter(at_edge).withColumn("left", F.col("rest") - F.col("before")).select("doc_id", "source", "n_tokens", "whole", "rank", "left")
+    near = near.groupBy("source").applyInPandas(_fill, "doc_id long, source string, n_tokens long, whole int, extra int")
     drawn = (
         clear.unionByName(near)
         .select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("extra")).alias("copies"))
