@@ -67,8 +67,9 @@ def periods_and_gaps(
         .filter(s.isNotNull() & (F.col("_tl_prev").isNull() | (s > F.try_add(F.col("_tl_prev"), F.lit(int(max_pause))))))
     )
     piece = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("from_time"), F.col(b).alias("to_time"))
+    # _tl_last is known in every row; reading it here too lets both parts below share one shuffle of the intervals
     inner = (
-        breaks.withColumn("_tl_next", F.lead("_tl_prev").over(in_shard))
+        breaks.withColumn("_tl_next", F.when(F.col("_tl_last").isNotNull(), F.lead("_tl_prev").over(in_shard)))
         .select(*ent, F.explode(F.array(piece("gap", "_tl_prev", "_tl_s"), piece("period", "_tl_s", "_tl_next"))).alias("_tl_p"))
         .filter("_tl_p.from_time is not null and _tl_p.to_time is not null")
         .select(*ent, "_tl_p.*")
