@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import scalar as S
 from tracelake.functions import vocab as V
 from tracelake.functions.lines import is_event_line, without_comma
-from tracelake.session import cut
+from tracelake.session import cut, is_small
 
 PARSED = {"type", "func_name", "cat", "ph", "pid", "tid", "hhash", "fhash", "time_start", "time_end", "duration", "count", "ret", "offset", "image_id", "epoch", "io_cat", "size", "acc_pat", *V.BIN_COLUMNS}
 #: Rows up to which a hash dictionary is broadcast; larger ones are joined by key.
@@ -114,14 +114,13 @@ def dictionaries_of(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 def resolve_hashes(events: DataFrame, files: DataFrame, hosts: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """file_name and host_name by dictionaries (hash, name); NULL where a hash isn't known.
 
-    A dictionary is broadcast after a count shows it has at most `broadcast_rows` rows; a larger one is joined
-    by key, where adaptive execution splits hot keys.
+    A dictionary is broadcast if it is sure to have at most `broadcast_rows` rows; a larger one is joined by
+    key, where adaptive execution splits hot keys.
     """
     out = events.drop("file_name", "host_name")
     for dictionary, key, name in ((files, "fhash", "file_name"), (hosts, "hhash", "host_name")):
         d = dictionary.select(F.col("hash").alias(key), F.col("name").alias(name))
-        small = d.limit(broadcast_rows + 1).count() <= broadcast_rows
-        out = out.join(F.broadcast(d) if small else d, key, "left")
+        out = out.join(F.broadcast(d) if is_small(d, broadcast_rows) else d, key, "left")
     return out
 
 

@@ -74,5 +74,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame, rows: int, sure_bytes: int = 64 << 10) -> bool:
+    """Whether `df`, which has different keys, has at most `rows` rows.
+
+    No job is needed where the optimizer knows that its sources hold at most `sure_bytes` (and no key takes less
+    than a byte of those); else the rows are counted, as far as `rows`.
+    """
+    if rows >= sure_bytes and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= sure_bytes:
+        return True
+    return df.limit(rows + 1).count() <= rows
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
