@@ -10,12 +10,12 @@ from tracelake.plans.viewcache import cached_view, view_name
 
 LINES = [
     "[", "]", "][", "", "  ", "{", '{"a":1}', "not json at all",
-    '{"name":"FH","ph":"M","cat":"dftracer","pid":1,"tid":1,"args":{"name":"/data/x1.npz","value":"f1"}},',
-    '{"name":"FH","ph":"M","cat":"dftracer","pid":1,"tid":1,"args":{"name":"/usr/lib/y.so","value":"f2"}}',
-    '{"name":"HH","ph":"M","cat":"dftracer","pid":1,"tid":1,"args":{"name":"node1","value":"h1"}}',
-    '{"name":"SH","ph":"M","cat":"dftracer","pid":1,"tid":1,"args":{"name":"s","value":"s1"}}',
-    '{"name":"PR","ph":"M","cat":"dftracer","pid":1,"tid":1,"args":{"name":"p","value":"p1"}}',
-    '{"name":"zz","ph":"M","cat":"dftracer","pid":1,"tid":1,"args":{"name":"o","value":"o1"}}',
+    '{"name":"FH","ph":"M","cat":"meta","pid":1,"tid":1,"args":{"name":"/data/x1.npz","value":"f1"}},',
+    '{"name":"FH","ph":"M","cat":"meta","pid":1,"tid":1,"args":{"name":"/usr/lib/y.so","value":"f2"}}',
+    '{"name":"HH","ph":"M","cat":"meta","pid":1,"tid":1,"args":{"name":"node1","value":"h1"}}',
+    '{"name":"SH","ph":"M","cat":"meta","pid":1,"tid":1,"args":{"name":"s","value":"s1"}}',
+    '{"name":"PR","ph":"M","cat":"meta","pid":1,"tid":1,"args":{"name":"p","value":"p1"}}',
+    '{"name":"zz","ph":"M","cat":"meta","pid":1,"tid":1,"args":{"name":"o","value":"o1"}}',
     '{"name":"read","ph":"X","cat":"POSIX","pid":1,"tid":2,"ts":1000000,"dur":10.9,"args":{"fhash":"f1","hhash":"h1","ret":5000,"offset":"7","epoch":"1"}}',
     '{"name":"read","ph":"X","cat":"POSIX","pid":1,"tid":2,"ts":2500000,"dur":10,"args":{"fhash":"f2","hhash":"h1","ret":5000}}',
     '{"name":"write","ph":"X","cat":"posix","pid":1,"tid":2,"ts":3000000,"dur":5,"args":{"fhash":"nope","hhash":"","ret":"0","offset":9,"epoch":"bad"}}',
