@@ -282,6 +282,40 @@ def test_aligned_copies(spark):
     assert {tuple(x) for x in said.collect()} >= {(2, 1)}
 
 
+def signed(rows):
+    """doc_id, n_chars, size, bands, closed of (doc_id, source, text)."""
+    body = lambda t: truncation.ending(t)[0]
+    return [(i, len(t), len(neardup.shingles(t)), neardup.bands(body(t)), body(t)[-1:] in ".!?") for i, _, t in rows]
+
+
+SIGNED = "doc_id long, n_chars int, size int, bands array<long>, closed boolean"
+
+
+def test_partners_beyond_the_longest(spark):
+    r = random.Random(5)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    original = words(220)
+    cut_off = original[: int(len(original) * 0.85)].rsplit(" ", 1)[0]
+    reposts = [original + " " + words(n) for n in range(60, 100)]  # 1.3 times as long and more: each heads some bands, none is a near copy of the cut text
+    rows = [(1, "s", original), (2, "s", cut_off)] + [(10 + i, "s", t) for i, t in enumerate(reposts)]
+    assert neardup.jaccard(cut_off, original) >= 0.8 > max(neardup.jaccard(cut_off, t) for t in reposts)
+    docs, copies = documents(spark, rows).cache(), spark.createDataFrame(signed(rows), SIGNED)
+    assert 2 not in {x.doc_id for x in truncation.aligned(neardup.longest_partners(copies, "not closed"), docs).collect()}
+    assert {x.doc_id: x.verdict for x in truncation.by_copies(copies, docs).collect()}[2] == 1
+
+
+def test_every_member_of_a_band_is_tried(spark):
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    swap = lambda i: base[:10] + [f"x{i}"] + base[11:]
+    other = [" ".join(swap(i)) + f" other tail of number {i} " + "y" * (40 + i) for i in range(90)]  # longer, near copies, but other words at the end
+    ends = " ".join(base[:190] + ["here the text goes on with a few"])
+    whole = ends + " more words to its end"
+    rows = [(1, "s", ends), (2, "s", whole)] + [(10 + i, "s", t) for i, t in enumerate(other)]
+    said = truncation.by_copies(spark.createDataFrame(signed(rows), SIGNED), documents(spark, rows), width=2)
+    assert {x.doc_id: x.verdict for x in said.collect()}.get(1) == 1
+
+
 def test_min_hash_recall():
     r = random.Random(3)
     hits = n = 0

@@ -1,4 +1,4 @@
-"""Near copies by min-hash banding: signatures, classes of exact copies, and one partner per document and band."""
+"""Near copies by min-hash banding: signatures, classes of exact copies, a first partner per document and band, and all others in order."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.chunked import running
+from tracelake.session import cut
+
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 _WORD = re.compile(r"\w+")
@@ -35,7 +38,10 @@ def shingles(text: str) -> np.ndarray:
 
 def bands(text: str) -> list[int]:
     """One key per band; documents of similarity s share a band with probability 1 - (1 - s^4)^16 (0.9998 at 0.8)."""
-    s = shingles(text)
+    return bands_of(shingles(text))
+
+
+def bands_of(s: np.ndarray) -> list[int]:
     if not len(s):
         return []
     low = np.full(len(_MUL), np.iinfo(np.uint64).max, np.uint64)
@@ -63,3 +69,29 @@ def longest_partners(signed: DataFrame, asking: str = "true") -> DataFrame:
     heads = members.groupBy("band").agg(F.max(F.struct("n_chars", "doc_id")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     pairs = members.filter("asks").join(heads, "band").filter(F.col("head.n_chars") > F.col("n_chars"))
     return pairs.select("doc_id", F.col("head.doc_id").alias("partner")).distinct()
+
+
+def ranked(signed: DataFrame, asking: str = "true") -> tuple[DataFrame, DataFrame]:
+    """(band, rank, partner, partner_chars) and (doc_id, n_chars, band, first, last): each band's members, largest first, and where each document `asking` has to look.
+
+    `signed`: as above, and `size`, the number of shingles. Only members of rank first + 1 to last are of a size that
+    lets SIMILARITY be reached; the others need no comparison. A band of any size spans many chunks.
+    """
+    members = signed.select("doc_id", "n_chars", "size", F.expr(asking).alias("asks"), F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bool_or("asks").alias("any")).filter("n > 1 and any")
+    members = cut(members.join(shared, "band", "left_semi"))
+    largest, smallest = F.floor(F.col("size") / F.lit(SIMILARITY) + 1e-9), F.ceil(F.col("size") * F.lit(SIMILARITY) - 1e-9)
+    row = lambda kind, at: ["band", "doc_id", "n_chars", F.lit(kind).alias("kind"), (-at).cast("long").alias("at"), (-F.col("n_chars")).alias("by"), F.lit(int(kind == 1)).alias("one")]
+    asks = members.filter("asks")
+    rows = members.select(*row(1, F.col("size"))).unionByName(asks.select(*row(0, largest))).unionByName(asks.select(*row(2, smallest)))
+    seen = cut(running(rows, ["band"], ["at", "kind", "by", "doc_id"], {"rank": ("one", "sum")}))
+    where = seen.filter("kind <> 1").groupBy("doc_id", "n_chars", "band").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+    return seen.filter("kind = 1").select("band", "rank", F.col("doc_id").alias("partner"), F.col("n_chars").alias("partner_chars")), where
+
+
+def next_partners(members: DataFrame, asks: DataFrame, done: int, width: int) -> DataFrame:
+    """doc_id, partner, step: the longer ones among the members at the steps done + 1 to done + width from each ask's first."""
+    at = F.sequence(F.col("first") + done + 1, F.least(F.col("last"), F.col("first") + done + width))
+    tried = asks.filter(F.col("last") - F.col("first") > done).select("doc_id", "n_chars", "band", "first", F.explode(at).alias("rank"))
+    pairs = tried.join(members, ["band", "rank"]).filter("partner_chars > n_chars")
+    return pairs.groupBy("doc_id", "partner").agg(F.min(F.col("rank") - F.col("first")).alias("step"))
