@@ -282,6 +282,25 @@ def test_aligned_copies(spark):
     assert {tuple(x) for x in said.collect()} >= {(2, 1)}
 
 
+def test_limits_in_bytes(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(600):
+        share = r.random() * 0.9  # of letters with two bytes, so a cut text is of any length in characters
+        t = "".join(r.choice("äöü" if r.random() < share else "aei ") for _ in range(r.randint(150, 900)))
+        rows.append((i, "bytes", t.encode()[:600].decode(errors="ignore")))
+    docs = documents(spark, rows)
+    assert not truncation.limits(docs).collect()
+    at = {x.n_bytes: x.at_limit for x in truncation.limits(docs, in_bytes=True).collect()}
+    assert at[600] > 0.9
+    some = docs.select("source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"))
+    joined = truncation.with_limits(some, truncation.limits(docs), truncation.limits(docs, in_bytes=True))
+    assert joined.count() == 600 and joined.filter("n_bytes = 600 and at_limit is null").count() == 0 < joined.filter("n_bytes = 600").count()
+    found = truncation.truncated(docs, sample_docs=50).join(docs.select("doc_id", F.octet_length("text").alias("n_bytes")), "doc_id")
+    odds = found.groupBy((F.col("n_bytes") == 600).alias("full")).agg(F.avg("score").alias("s")).collect()
+    assert dict(map(tuple, odds))[True] > dict(map(tuple, odds))[False] + 2
+
+
 def signed(rows):
     """doc_id, n_chars, size, bands, closed of (doc_id, source, text)."""
     body = lambda t: truncation.ending(t)[0]
