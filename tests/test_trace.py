@@ -133,3 +133,11 @@ def test_odd_numbers(spark):
     text = ['{"name":"a","cat":"c","ts":9223372036854775807,"dur":1e300}', '{"name":"a","cat":"c","ts":"5","dur":"NaN"}', '{"name":"a","cat":"c","ts":-3,"dur":-2.5,"pid":"x"}', '{"name":1,"cat":[1],"ts":{},"dur":null}']
     df = T.parse_trace(spark.createDataFrame([(t,) for t in text], "value string")).collect()
     assert [(r.time_start, r.time_end, r.pid) for r in df] == [(2**63 - 1, None, 0), (5, None, 0), (-3, -5, 0), (0, 0, 0)]
+
+
+def test_epochs_that_end_before_they_start(spark):
+    spans = spark.createDataFrame([(1, 5, 3), (2, 4, 6), (3, 9, 9)], "epoch long, span_start long, span_end long")
+    events = spark.createDataFrame([(i,) for i in range(11)], "time_range long").withColumn("epoch", F.lit(0).cast("long"))
+    for chain in (500, 0):
+        got = {x.time_range: x.epoch for x in T.assign_epochs(events, spans, chain=chain).collect()}
+        assert got == {4: 2, 5: 2, 6: 2, 9: 3}, chain

@@ -172,6 +172,7 @@ def assign_epochs(events: DataFrame, spans: DataFrame, chain: int = 500) -> Data
             pick = F.when(inside, F.lit(e)) if pick is None else pick.when(inside, F.lit(e))
         pick = F.lit(None).cast("long") if pick is None else pick.cast("long")
         return events.withColumn("epoch", pick).filter("epoch is not null")
+    spans = spans.filter("span_end >= span_start")  # a span that ends before it starts holds nothing; sequence would count down
     buckets = spans.withColumn("time_range", F.explode(F.sequence("span_start", "span_end"))).groupBy("time_range").agg(F.min("epoch").alias("epoch"))
     return events.drop("epoch").join(buckets, "time_range")
 
