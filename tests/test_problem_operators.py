@@ -79,6 +79,12 @@ def number(h):
         return None
 
 
+def test_key_totals_of_huge_durations(spark):
+    rows = [{"event_id": i, "fhash": k, "func_name": "read", "duration": d} for i, (k, d) in enumerate([("a", 2e16), ("a", 1.25), ("b", 3e30), ("b", 1e30), ("c", 1e27), ("c", 5.0), ("d", float("inf")), ("d", None), ("e", 4.5)])]
+    got = {x.hot_key: x.total_duration for x in hotkeys.key_totals(trace(spark, rows), fields=("fhash",)).collect()}
+    assert got == {"a": 2e16 + 1.25, "b": 4e30, "c": 1e27 + 5.0, "d": None, "e": 4.5}
+
+
 def test_orphans_against_all_pairs(spark):
     r = random.Random(5)
     files = [("aa", 100, 20_000), ("0xAA", 30_000, None), ("BB", 39_000, None), ("bb", None, None), ("00aa", 10, 10), ("AA", 50, 5), ("cc", None, 3)]

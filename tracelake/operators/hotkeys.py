@@ -21,14 +21,17 @@ def key_totals(trace: DataFrame, fields: Sequence[str] = ("fhash", "func_name"))
 
     NULL and empty values are keys too, so each field's counts add up to all events. Unknown durations
     (NULL, NaN, infinite) and sizes (NULL, below 0) are left out of the sums, which are NULL if nothing is
-    known. Each event counts once. Durations are summed exactly, to a hundredth of a microsecond.
+    known. Each event counts once. Durations are summed exactly, to a hundredth of a microsecond; those of 1e26
+    and more, which no decimal of that scale holds, are added as doubles.
     """
     events = distinct_events(trace, [*fields, "duration", "size"])
     pairs = ", ".join(f"'{f}', cast(`{f}` as string)" for f in fields)
-    known = F.when(~F.isnan("duration"), F.col("duration")).try_cast("decimal(18,2)")
-    rows = events.select(F.expr(f"stack({len(fields)}, {pairs}) as (field, hot_key)"), known.alias("_tl_d"), F.when(F.col("size") >= 0, F.col("size")).alias("_tl_z"))
+    known = F.when(~F.isnan("duration") & (F.abs("duration") < float("inf")), F.col("duration"))
+    exact = known.try_cast("decimal(28,2)")
+    rows = events.select(F.expr(f"stack({len(fields)}, {pairs}) as (field, hot_key)"), exact.alias("_tl_d"), F.when(exact.isNull(), known).alias("_tl_h"), F.when(F.col("size") >= 0, F.col("size")).alias("_tl_z"))
+    exact_sum, huge_sum = F.sum("_tl_d").cast("double"), F.sum("_tl_h")
     return rows.groupBy("field", "hot_key").agg(
-        F.count(F.lit(1)).alias("n_events"), F.sum("_tl_d").cast("double").alias("total_duration"), F.sum("_tl_z").alias("total_size")
+        F.count(F.lit(1)).alias("n_events"), F.coalesce(exact_sum + huge_sum, exact_sum, huge_sum).alias("total_duration"), F.sum("_tl_z").alias("total_size")
     )
 
 
