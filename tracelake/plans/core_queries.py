@@ -331,6 +331,12 @@ def checkpoint_asof(spark, d):
     return index.checkpoint_asof(_checkpoints(spark, d), n.filter("line_no % 7 = 3").select("file", F.col("newline").alias("target")))
 
 
+@query()
+def checkpoint_asof_all(spark, d):
+    """The checkpoint of every line; checkpoint_asof, like its SQL, looks up one line of seven."""
+    return index.checkpoint_asof(_checkpoints(spark, d), _numbered(spark, d).select("file", F.col("newline").alias("target")))
+
+
 @query(f"WITH {_CP} SELECT file, checkpoint_idx FROM cp WHERE first_line <= 90 AND last_line >= 40")
 def checkpoint_overlap(spark, d):
     return index.checkpoints_overlapping(_checkpoints(spark, d), 40, 90).select("file", "checkpoint_idx")
