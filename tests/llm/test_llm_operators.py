@@ -323,6 +323,18 @@ def test_partners_beyond_the_longest(spark):
     assert {x.doc_id: x.verdict for x in truncation.by_copies(copies, docs).collect()}[2] == 1
 
 
+def test_partner_of_equal_length(spark):
+    r = random.Random(7)
+    whole = " ".join(f"w{r.randrange(10**6)}" for _ in range(100))
+    marked = whole[:-3] + "..."  # cut by as many characters as its mark has
+    shorter = "w1 " + whole[whole.index(" ", 20) + 1 :]  # a copy that lost words at its start
+    for other in (whole, shorter):
+        rows = [(1, "s", marked), (2, "s", other)]
+        assert len(other) <= len(marked)
+        said = truncation.by_copies(spark.createDataFrame(signed(rows), SIGNED), documents(spark, rows))
+        assert {x.doc_id: x.verdict for x in said.collect()} == {1: 1}
+
+
 def test_every_member_of_a_band_is_tried(spark):
     r = random.Random(6)
     base = [f"w{r.randrange(10**6)}" for _ in range(200)]

@@ -72,7 +72,7 @@ def longest_partners(signed: DataFrame, asking: str = "true") -> DataFrame:
 
 
 def ranked(signed: DataFrame, asking: str = "true") -> tuple[DataFrame, DataFrame]:
-    """(band, rank, partner, partner_chars) and (doc_id, n_chars, band, first, last): each band's members, largest first, and where each document `asking` has to look.
+    """(band, rank, partner) and (doc_id, band, first, last): each band's members, largest first, and where each document `asking` has to look.
 
     `signed`: as above, and `size`, the number of shingles. Only members of rank first + 1 to last are of a size that
     lets SIMILARITY be reached; the others need no comparison. A band of any size spans many chunks.
@@ -85,13 +85,13 @@ def ranked(signed: DataFrame, asking: str = "true") -> tuple[DataFrame, DataFram
     asks = members.filter("asks")
     rows = members.select(*row(1, F.col("size"))).unionByName(asks.select(*row(0, largest))).unionByName(asks.select(*row(2, smallest)))
     seen = cut(running(rows, ["band"], ["at", "kind", "by", "doc_id"], {"rank": ("one", "sum")}))
-    where = seen.filter("kind <> 1").groupBy("doc_id", "n_chars", "band").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
-    return seen.filter("kind = 1").select("band", "rank", F.col("doc_id").alias("partner"), F.col("n_chars").alias("partner_chars")), where
+    where = seen.filter("kind <> 1").groupBy("doc_id", "band").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+    return seen.filter("kind = 1").select("band", "rank", F.col("doc_id").alias("partner")), where
 
 
 def next_partners(members: DataFrame, asks: DataFrame, done: int, width: int) -> DataFrame:
-    """doc_id, partner, step: the longer ones among the members at the steps done + 1 to done + width from each ask's first."""
+    """doc_id, partner, step: the members at the steps done + 1 to done + width from each ask's first, longer than its document or not."""
     at = F.sequence(F.col("first") + done + 1, F.least(F.col("last"), F.col("first") + done + width))
-    tried = asks.filter(F.col("last") - F.col("first") > done).select("doc_id", "n_chars", "band", "first", F.explode(at).alias("rank"))
-    pairs = tried.join(members, ["band", "rank"]).filter("partner_chars > n_chars")
+    tried = asks.filter(F.col("last") - F.col("first") > done).select("doc_id", "band", "first", F.explode(at).alias("rank"))
+    pairs = tried.join(members, ["band", "rank"]).filter("partner <> doc_id")
     return pairs.groupBy("doc_id", "partner").agg(F.min(F.col("rank") - F.col("first")).alias("step"))
