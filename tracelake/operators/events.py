@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.bits import bit_table, with_bit
+
 DAY_US = 86_400_000_000
 #: Blanks, controls, invisible format characters and non-characters at either end of a name.
 _EDGE = r"[\s\p{Z}\p{C}]+"
@@ -17,22 +19,25 @@ def valid_events(trace: DataFrame) -> DataFrame:
     return trace.filter(~F.col("is_valid").eqNullSafe(F.lit(False)))
 
 
-def distinct_events(trace: DataFrame, columns: Sequence[str], order: str = "ingested_at") -> DataFrame:
+def repeated_ids(trace: DataFrame) -> DataFrame:
+    """A bit table of every `event_id` delivered more than once. Only ids are shuffled, and each task counts its own first."""
+    ids = valid_events(trace).select("event_id").filter("event_id is not null")
+    return bit_table(ids.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "event_id")
+
+
+def distinct_events(trace: DataFrame, columns: Sequence[str], order: str = "ingested_at", repeated: DataFrame | None = None) -> DataFrame:
     """Valid events, each `event_id` once, with `columns`.
 
     Of several deliveries the earliest by `order` is kept (NULL first), ties by the smallest payload, so
-    the result is the same at every run. Rows without an event_id are events of their own. One shuffle by
-    event_id; the rows are put in place before the aggregate so that each is sorted once only.
+    the result is the same at every run. Rows without an event_id are events of their own. Rows whose id comes
+    once aren't shuffled: the ids are counted first (`repeated_ids`; a reader of several passes gives it), and
+    only rows of an id whose bit is set go by id, combined before the shuffle.
     """
     payload = [c for c in dict.fromkeys(columns) if c != "event_id"]
-    lone = F.when(F.col("event_id").isNull(), F.monotonically_increasing_id()).alias("_tl_lone")
-    rows = valid_events(trace).select("event_id", lone, F.col(order).alias("_tl_order"), *payload)
-    first = (
-        rows.repartition("event_id", "_tl_lone")
-        .groupBy("event_id", "_tl_lone")
-        .agg(F.min(F.struct("_tl_order", *payload)).alias("_tl_row"))
-    )
-    return first.select("event_id", *[F.col(f"_tl_row.{c}").alias(c) for c in payload])
+    rows = valid_events(trace).select("event_id", F.col(order).alias("_tl_order"), *payload)
+    rows = with_bit(rows, "event_id", repeated_ids(trace) if repeated is None else repeated, "_tl_again")
+    first = rows.filter("_tl_again").groupBy("event_id").agg(F.min(F.struct("_tl_order", *payload)).alias("_tl_row"))
+    return rows.filter("not _tl_again").select("event_id", *payload).unionByName(first.select("event_id", *[F.col(f"_tl_row.{c}").alias(c) for c in payload]))
 
 
 def function_key(name: Column) -> Column:
