@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.grouping import grouped_stream
-from tracelake.operators.events import DAY_US, distinct_events, function_key
+from tracelake.operators.events import DAY_US, distinct_events, function_key, plain_spellings, repeated_ids, valid_events
 from tracelake.session import cut, ship, shuffle_partitions
 
 DELTA = 1000.0
@@ -32,6 +32,11 @@ _DIGEST = "func string, category string, day int, metric string, part int, n lon
 _DIGEST_NAMES = [c.split()[0] for c in _DIGEST.split(", ")]
 
 
+def groups(ranked: DataFrame) -> DataFrame:
+    """func_name, plain_name, category, day, metric, n, within_bound: of each group of `percentiles`, whether all its estimates keep to the bound."""
+    return ranked.groupBy("func_name", "plain_name", "category", "day", "metric", "n").agg(F.bool_and("within_bound").alias("within_bound"))
+
+
 def rank_bound(q: float, n: float, delta: float = DELTA) -> float:
     """The stated bound on |rank error| / n: one unit of k around q for each level of clustering, and one value."""
     return _LEVELS * 2 * np.pi * np.sqrt(q * (1 - q)) / delta + 1 / max(n, 1)
@@ -72,9 +77,9 @@ def quantiles(means: np.ndarray, weights: np.ndarray, lo: float, hi: float, at:
     return [float(np.interp(p * n, mid, means)) for p in at]
 
 
-def event_values(trace: DataFrame) -> DataFrame:
+def event_values(trace: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """func, category, day, duration, size of distinct events; unknown values are NULL, unknown names '' and an unknown day NO_DAY."""
-    e = distinct_events(trace, ["func_name", "cat", "time_start", "duration", "size"])
+    e = distinct_events(trace, ["func_name", "cat", "time_start", "duration", "size"], repeated=repeated)
     day = F.floor(F.col("time_start") / F.lit(float(DAY_US)))
     return e.select(
         F.coalesce(function_key(F.col("func_name")), F.lit("")).alias("func"),
@@ -102,8 +107,9 @@ def merge_digests(digests: DataFrame, keys: Sequence[str], delta: float = DELTA)
 
 
 def percentiles(trace: DataFrame, at: Sequence[float] = PERCENTILES, delta: float = DELTA, broadcast_rows: int = 200_000) -> DataFrame:
-    """func_name, category, day, metric, n, percentile, estimate, rank_low, rank_high, rank_error, bound, within_bound.
+    """func_name, plain_name, category, day, metric, n, percentile, estimate, rank_low, rank_high, rank_error, bound, within_bound.
 
+    func_name is a function's key, plain_name its most frequent spelling, category in lower case without blanks around it.
     day is a date, or `all` for the days combined; rows whose day, function or category is unknown have NULL
     there. Unknown values (NULL, NaN, infinite, sizes below 0) are left out, and a group without any known value
     has no row. rank_low and rank_high are the exact shares of values below and up to the estimate, counted in a
@@ -113,7 +119,8 @@ def percentiles(trace: DataFrame, at: Sequence[float] = PERCENTILES, delta: floa
     key with the events salted, so a group with a third of all events is shared by many tasks.
     """
     spark = trace.sparkSession
-    values = event_values(trace)
+    # Both passes read the trace itself; what they share is which ids come more than once.
+    values = event_values(trace, cut(repeated_ids(trace)))
     daily = cut(daily_digests(values, delta))
     whole = merge_digests(daily.withColumn("day", F.lit(ALL_DAYS)), _KEYS, delta)
     at = [float(p) for p in at]
@@ -149,8 +156,9 @@ def percentiles(trace: DataFrame, at: Sequence[float] = PERCENTILES, delta: floa
     error = F.greatest(low - p, p - high, F.lit(0.0))
     bound = F.lit(_LEVELS * 2 * np.pi / delta) * F.sqrt(p * (1 - p)) + 1 / F.col("n")
     day = F.when(F.col("day") == ALL_DAYS, "all").when(F.col("day") != NO_DAY, F.date_from_unix_date("day").cast("string"))
-    return out.select(
-        F.nullif("func", F.lit("")).alias("func_name"), F.nullif("category", F.lit("")).alias("category"), day.alias("day"), "metric", "n", p.alias("percentile"), "estimate",
+    names = plain_spellings(valid_events(trace)).select(F.col("function_key").alias("func"), "plain_name")
+    return out.join(names, "func", "left").select(
+        F.nullif("func", F.lit("")).alias("func_name"), "plain_name", F.nullif("category", F.lit("")).alias("category"), day.alias("day"), "metric", "n", p.alias("percentile"), "estimate",
         low.alias("rank_low"), high.alias("rank_high"), error.alias("rank_error"), bound.alias("bound"), (error <= bound).alias("within_bound"),
     )
 

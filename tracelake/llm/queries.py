@@ -26,6 +26,10 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return digest.percentiles(table(spark, d, "trace"))
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return digest.groups(p5_percentiles(spark, d))
+
+
 # 8: filling containers
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
@@ -53,7 +57,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(truncation.truncated(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p8_packed, p8_fills, p9_mix, p9_shares, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p5_groups, p8_packed, p8_fills, p9_mix, p9_shares, p10_found, p10_rates)}
 
 _EDGE = r"[\s\p{Z}\p{C}]+"
 FUNCTION_SQL = rf"nullif(regexp_replace(replace(regexp_replace(lower(regexp_replace(func_name, '^{_EDGE}|{_EDGE}$', '', 'g')), '(?:\(\)|@+[^@\s]*|#[0-9]+)+$', ''), '::', '.'), '{_EDGE}$', ''), '')"
@@ -63,7 +67,17 @@ g AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY pid, tid
 runs AS (SELECT pid, tid, r, any_value(f) AS f, arg_min(event_id, (time_start, event_id)) AS first_event_id, arg_max(event_id, (time_start, event_id)) AS last_event_id, count(*) AS n_events,
   min(time_start) AS from_time, max(CASE WHEN time_end >= time_start THEN time_end ELSE time_start END) AS to_time FROM g GROUP BY pid, tid, r)"""
 
+_PLAIN_SQL = f"""raw AS (SELECT func_name, {FUNCTION_SQL} AS f, count(*) AS n FROM trace WHERE is_valid IS DISTINCT FROM false GROUP BY ALL),
+plain AS (SELECT f, func_name FROM raw QUALIFY row_number() OVER (PARTITION BY f ORDER BY n DESC, func_name) = 1)"""
+# Every group there is, its known values, and that all estimates keep to the stated bound.
+_GROUPS_SQL = rf"""WITH {EVENTS_SQL}, {_PLAIN_SQL}, v AS (SELECT {FUNCTION_SQL} AS f, nullif(lower(regexp_replace(cat, '^{_EDGE}|{_EDGE}$', '', 'g')), '') AS category,
+  CAST(CAST(make_timestamp(time_start) AS DATE) AS VARCHAR) AS d, CASE WHEN CAST(duration AS VARCHAR) NOT IN ('nan', '-nan', 'inf', '-inf') THEN duration END AS duration, CASE WHEN size >= 0 THEN size END AS size FROM ev),
+m AS (SELECT f, category, d, 'duration' AS metric FROM v WHERE duration IS NOT NULL UNION ALL SELECT f, category, d, 'size' FROM v WHERE size IS NOT NULL),
+g AS (SELECT f, category, d AS day, metric, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT f, category, 'all', metric, count(*) FROM m GROUP BY f, category, metric)
+SELECT g.f AS func_name, func_name AS plain_name, category, day, metric, n, true AS within_bound FROM g LEFT JOIN plain ON plain.f = g.f"""
+
 SQL = {
+    "p5_groups": _GROUPS_SQL,
     "p1_found": f"{_RUNS_SQL} SELECT pid, tid, first_event_id, last_event_id FROM runs WHERE n_events >= 2",
     "p1_runs": f"""{_RUNS_SQL}, raw AS (SELECT func_name, {FUNCTION_SQL} AS f, count(*) AS n FROM trace WHERE is_valid IS DISTINCT FROM false GROUP BY ALL),
 plain AS (SELECT f, func_name FROM raw QUALIFY row_number() OVER (PARTITION BY f ORDER BY n DESC, func_name) = 1)
