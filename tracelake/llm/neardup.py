@@ -1,97 +1,250 @@
-"""Near copies by min-hash banding: signatures, classes of exact copies, a first partner per document and band, and all others in order."""
+"""Near copies of which one ends early, by min-hash banding of what comes before the end.
+
+A text that was cut and its whole copy are alike up to the cut, however little of the text is left, but as whole
+texts they may differ in nearly everything. So an asking text's signature covers its shingles up to its last
+whole one, and a copy's signature is taken at every place where that last shingle stands in it: the two sets are
+near copies of each other if the texts are. A band's key joins the shingle, how the next word begins and six
+min-hashes, so texts meet only if they share the words at the end and, with probability 1 - (1 - s^6)^20 (0.998 at
+a similarity of 0.8, 1 for a plain cut), those before. Where only the last word is left to compare, the key holds
+all of the asking text's last word, which must be the beginning of a longer one. Bit tables of fixed size keep
+nearly all other keys from being made or moved at all.
+"""
 
 from __future__ import annotations
 
-import re
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.bits import as_array, bit_table, perhaps, with_bit
 from tracelake.operators.chunked import running
-from tracelake.session import cut
+from tracelake.session import cut, ship
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 16, 4
-_WORD = re.compile(r"\w+")
-_PRIME = np.uint64((1 << 61) - 1)
+BANDS, ROWS = 20, 6
+_BLOCK = 8192
+#: Places whose keys are made at once.
+_PLACES = 4096
+#: Size of the bit table of asked keys, in words of 64 bits.
+KEY_WORDS = 1 << 20
 _rng = np.random.default_rng(20)
-_MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_MIX = _rng.integers(1, 2**63, SHINGLE_WORDS, dtype=np.uint64) | np.uint64(1)
-
-
-def shingles(text: str) -> np.ndarray:
-    """Hashes of the different runs of five words of the whole text (of all words, where there are fewer)."""
-    words = np.array([xxhash.xxh3_64_intdigest(w) for w in _WORD.findall(text.lower())], np.uint64)
-    if not len(words):
-        return words
-    n = max(1, len(words) - SHINGLE_WORDS + 1)
-    out = np.zeros(n, np.uint64)
+_MUL = _rng.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_MIX = _rng.integers(1, 2**63, max(SHINGLE_WORDS, BANDS), dtype=np.uint64) | np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Bytes of words: ASCII letters, digits and underscores, and every byte of other characters.
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
+
+
+def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, ends and hashes of the words of some bytes: each a polynomial of its bytes, all by running sums."""
+    b = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(b) + 2, np.int8)
+    inside[1:-1] = _IN_WORD[b]
+    edge = np.diff(inside)
+    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     with np.errstate(over="ignore"):
-        for i in range(min(SHINGLE_WORDS, len(words))):
-            out = (out ^ words[i : i + n]) * _MIX[i]
-            out ^= out >> np.uint64(29)
-    return np.unique(out)
-
-
-def bands(text: str) -> list[int]:
-    """One key per band; documents of similarity s share a band with probability 1 - (1 - s^4)^16 (0.9998 at 0.8)."""
-    return bands_of(shingles(text))
-
-
-def bands_of(s: np.ndarray) -> list[int]:
-    if not len(s):
-        return []
-    low = np.full(len(_MUL), np.iinfo(np.uint64).max, np.uint64)
+        power = np.full(len(b) + 1, _BASE, np.uint64)
+        power[0] = 1
+        power = np.cumprod(power)
+        upto = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[:-1], out=upto[1:])
+        back = np.full(len(b) + 1, _INVERSE, np.uint64)
+        back[0] = 1
+        hashes = _scramble((upto[ends] - upto[begins]) * np.cumprod(back)[begins])
+    return begins, ends, hashes
+
+
+def _joined(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for k in range(0, len(s), 4096):  # a long text in blocks
-            h = s[k : k + 4096, None] * _MUL + _ADD
-            low = np.minimum(low, (h ^ (h >> np.uint64(32))).min(axis=0))
-    return [xxhash.xxh3_64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b) - 2**63 for b in range(BANDS)]
-
-
-def jaccard(a: str, b: str) -> float:
-    x, y = shingles(a), shingles(b)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
-
-
-def longest_partners(signed: DataFrame, asking: str = "true") -> DataFrame:
-    """doc_id, partner: for each document `asking`, in each of its bands, the band's longest member if that is longer.
-
-    `signed`: doc_id, n_chars, bands and what the condition `asking` reads; one row per class of exact copies. A
-    band of any size gives at most one pair per member: its longest member is found by an aggregate that combines
-    before the shuffle.
+        return _scramble(x ^ ((np.asarray(y).astype(np.uint64) + np.uint64(1)) * _MIX[0]))
+
+
+class Block:
+    """Some texts as words, all at once: `starts` (the first word of each text, and the end), the words' `hashes`, and for each word
+    `owner` (the text), `shingles` (the five words from it; only where `whole`) and `places` (the shingle and how the next word
+    begins; only where `followed`)."""
+
+    def __init__(self, coded: Sequence[bytes]):
+        self.data = b" ".join(coded)
+        self.begins, self.ends, self.hashes = words(self.data)
+        n = len(self.hashes)
+        self.starts = np.append(np.searchsorted(self.begins, np.cumsum([0] + [len(c) + 1 for c in coded[:-1]])), n)
+        self.owner = np.repeat(np.arange(len(coded)), np.diff(self.starts))
+        padded = np.concatenate([self.hashes, np.zeros(SHINGLE_WORDS, np.uint64)])
+        self.shingles = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(SHINGLE_WORDS):
+                self.shingles = (self.shingles ^ padded[i : i + n]) * _MIX[i]
+                self.shingles ^= self.shingles >> np.uint64(29)
+        left = self.starts[self.owner + 1] - np.arange(n)
+        self.whole, self.followed = left >= SHINGLE_WORDS, left > SHINGLE_WORDS
+        head = np.zeros(n + SHINGLE_WORDS, np.uint8)
+        head[:n] = np.frombuffer(self.data, np.uint8)[self.begins]
+        self.places = _joined(self.shingles, head[SHINGLE_WORDS:])
+
+    def last(self, text: int) -> bytes:
+        """The last word of a text that has one."""
+        i = self.starts[text + 1] - 1
+        return self.data[self.begins[i] : self.ends[i]]
+
+    def minima(self, at: np.ndarray) -> np.ndarray:
+        """The min-hashes of the shingles from the text's first to each of `at` (rows), which ascend."""
+        own, counts = np.unique(self.owner[at], return_counts=True)
+        out = np.empty((len(at), len(_MUL)), np.uint32)
+        short = ((self.shingles >> np.uint64(32)) ^ self.shingles).astype(np.uint32)
+        done = 0
+        for text, k in zip(own.tolist(), counts.tolist()):
+            here = at[done : done + k]
+            low, first = None, int(self.starts[text])
+            for i in range(0, k, _PLACES):
+                some = here[i : i + _PLACES]
+                cuts = np.append(first, some + 1)
+                rows = _segment_minima(short, cuts)
+                if low is not None:
+                    rows[0] = np.minimum(rows[0], low)
+                np.minimum.accumulate(rows, axis=0, out=out[done + i : done + i + len(some)])
+                low, first = out[done + i + len(some) - 1], int(some[-1]) + 1
+            done += k
+        return out
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        """A key per band (columns) of the texts up to each place of `at` (rows), which ascend."""
+        m = self.minima(at).astype(np.uint64).reshape(len(at), BANDS, ROWS)
+        with np.errstate(over="ignore"):
+            h = self.places[at][:, None] ^ _MIX[:BANDS]
+            for r in range(ROWS):
+                h = (h ^ m[:, :, r]) * _MIX[r]
+                h ^= h >> np.uint64(31)
+        return _scramble(h).view(np.int64)
+
+    def asking(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Of each text that has a place: its number, its last place, and its keys there: one per band for texts that go on, one for those that
+        end with a longer word. The last word itself may be cut."""
+        texts = np.flatnonzero(np.diff(self.starts) > SHINGLE_WORDS)
+        at = self.starts[texts + 1] - 1 - SHINGLE_WORDS
+        for k in range(0, len(at), _PLACES):
+            for text, place, own in zip(texts[k : k + _PLACES].tolist(), self.places[at[k : k + _PLACES]].view(np.int64).tolist(), self.keys(at[k : k + _PLACES])):
+                yield text, place, np.concatenate([own, _ending(own, zlib.crc32(self.last(text)))])
+
+
+def _segment_minima(short: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The min-hashes of short[cuts[i] : cuts[i + 1]] for each i; a long stretch goes in blocks."""
+    a, z = int(cuts[0]), int(cuts[-1])
+    out = np.full((len(cuts) - 1, len(_MUL)), np.iinfo(np.uint32).max, np.uint32)
+    for k in range(a, z, _BLOCK):
+        end = min(z, k + _BLOCK)
+        with np.errstate(over="ignore"):
+            h = short[k:end, None] * _MUL + _ADD
+        first = int(np.searchsorted(cuts, k, "right")) - 1
+        inner = cuts[(cuts > k) & (cuts < end)]
+        part = np.minimum.reduceat(h, np.append(k, inner) - k, axis=0)
+        out[first : first + len(part)] = np.minimum(out[first : first + len(part)], part)
+    return out
+
+
+def blocks(texts: Sequence[str], enough: int = 1 << 19) -> Iterator[tuple[int, Block]]:
+    """(number of the first text, block) of many texts at a time."""
+    coded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    first = 0
+    while first < len(coded):
+        last, size = first, 0
+        while last < len(coded) and (last == first or size + len(coded[last]) < enough):
+            size += len(coded[last]) + 1
+            last += 1
+        yield first, Block(coded[first:last])
+        first = last
+
+
+def _ending(keys: np.ndarray, word: int) -> np.ndarray:
+    return _joined(keys.view(np.uint64), word).view(np.int64)
+
+
+def contained(a: str, b: str) -> float:
+    """The share of the different shingles of `a`, its last word left out, that `b` has too."""
+    (_, x), (_, y) = next(blocks([a])), next(blocks([b]))
+    x, y = np.unique(x.shingles[x.followed]), np.unique(y.shingles[y.whole])
+    return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else 0.0
+
+
+MET = "key long, asks boolean, copy long, rest int"
+
+
+def meetings(docs: DataFrame, asking: DataFrame) -> DataFrame:
+    """Rows of MET: the keys at which texts of `docs` (copy, text) go on where one of `asking` (copy, keys, last) ends, and those texts' own.
+
+    `copy`: a hash that tells texts apart; `rest`: words that follow. A text meets others at any number of places.
+    One row per key, text and side, of keys at which one text asks and another goes on. The bit tables hold which
+    places and which keys are asked for, and then which keys are met; they are of fixed size.
     """
-    members = signed.select("doc_id", "n_chars", F.expr(asking).alias("asks"), F.explode("bands").alias("band"))
-    heads = members.groupBy("band").agg(F.max(F.struct("n_chars", "doc_id")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = members.filter("asks").join(heads, "band").filter(F.col("head.n_chars") > F.col("n_chars"))
-    return pairs.select("doc_id", F.col("head.doc_id").alias("partner")).distinct()
+    spark = docs.sparkSession
+    ship(spark)
+    own = asking.select(F.explode("keys").alias("key"), F.lit(True).alias("asks"), "copy", F.lit(0).alias("rest"))
+    tables = spark.sparkContext.broadcast((as_array(bit_table(asking.select("last"), "last")), as_array(bit_table(own.select("key"), "key", KEY_WORDS), KEY_WORDS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, keys = tables.value
+        for b in batches:
+            copies = b.column(0).to_numpy(zero_copy_only=False)
+            texts = b.column(1).to_pylist()
+            found, where, rest = [], [], []
+
+            def add(k: np.ndarray, text: np.ndarray, left: np.ndarray) -> None:
+                hit, band = np.nonzero(perhaps(keys, k))
+                found.append(k[hit, band])  # noqa: B023
+                where.append(copies[text[hit]])  # noqa: B023
+                rest.append(left[hit])  # noqa: B023
+
+            for first, block in blocks(texts):
+                hits = np.flatnonzero(block.followed & perhaps(asked, block.places.view(np.int64)))
+                for i in range(0, len(hits), _PLACES):
+                    at = hits[i : i + _PLACES]
+                    k, text = block.keys(at), block.owner[at]
+                    left = block.starts[text + 1] - at - SHINGLE_WORDS
+                    add(k[left > 1], first + text[left > 1], left[left > 1])
+                    for j in np.flatnonzero(left == 1):  # what ends there too has to end with a shorter word, or without the full stop
+                        word = block.last(int(text[j]))
+                        begun = [zlib.crc32(word[:n]) for n in range(1, len(word) + texts[first + text[j]].rstrip().endswith((".", "!", "?")))]
+                        if begun:
+                            add(_ending(k[j][None, :], np.array(begun)[:, None]), np.full(len(begun), first + text[j]), np.ones(len(begun), np.int64))
+            if found:
+                key = pa.array(np.concatenate(found))
+                yield pa.record_batch([key, pa.array(np.zeros(len(key), bool)), pa.array(np.concatenate(where)), pa.array(np.concatenate(rest).astype(np.int32))], names=["key", "asks", "copy", "rest"])
+
+    others = cut(docs.select("copy", "text").mapInArrow(run, MET).groupBy("key", "copy", "asks").agg(F.max("rest").alias("rest")))
+    met = with_bit(own, "key", bit_table(others, "key"), "_tl_met").filter("_tl_met").drop("_tl_met").unionByName(others)
+    both = met.groupBy("key").agg(F.bool_or("asks").alias("a"), F.bool_or(~F.col("asks")).alias("z")).filter("a and z")
+    return met.join(both.select("key"), "key", "left_semi")
+
+
+def first_partners(met: DataFrame) -> DataFrame:
+    """copy, partner: for each asking text, at each of its keys, the text that goes on for longest.
+
+    A key of any size gives at most one pair per asking text, by an aggregate that combines before the shuffle.
+    """
+    heads = met.filter("not asks").groupBy("key").agg(F.max(F.struct("rest", "copy")).alias("head"))
+    pairs = met.filter("asks").join(heads, "key").filter(F.col("head.copy") != F.col("copy"))
+    return pairs.select("copy", F.col("head.copy").alias("partner")).distinct()
 
 
-def ranked(signed: DataFrame, asking: str = "true") -> tuple[DataFrame, DataFrame]:
-    """(band, rank, partner) and (doc_id, band, first, last): each band's members, largest first, and where each document `asking` has to look.
+def ranked(met: DataFrame) -> DataFrame:
+    """key, rank, partner: the texts that go on, numbered within their key from the longest rest. A key of any size spans many chunks."""
+    rows = met.filter("not asks").select("key", (-F.col("rest")).alias("by"), F.col("copy").alias("partner"), F.lit(1).alias("one"))
+    return running(rows, ["key"], ["by", "partner"], {"rank": ("one", "sum")}).select("key", "rank", "partner")
 
-    `signed`: as above, and `size`, the number of shingles. Only members of rank first + 1 to last are of a size that
-    lets SIMILARITY be reached; the others need no comparison. A band of any size spans many chunks.
-    """
-    members = signed.select("doc_id", "n_chars", "size", F.expr(asking).alias("asks"), F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bool_or("asks").alias("any")).filter("n > 1 and any")
-    members = cut(members.join(shared, "band", "left_semi"))
-    largest, smallest = F.floor(F.col("size") / F.lit(SIMILARITY) + 1e-9), F.ceil(F.col("size") * F.lit(SIMILARITY) - 1e-9)
-    row = lambda kind, at: ["band", "doc_id", "n_chars", F.lit(kind).alias("kind"), (-at).cast("long").alias("at"), (-F.col("n_chars")).alias("by"), F.lit(int(kind == 1)).alias("one")]
-    asks = members.filter("asks")
-    rows = members.select(*row(1, F.col("size"))).unionByName(asks.select(*row(0, largest))).unionByName(asks.select(*row(2, smallest)))
-    seen = cut(running(rows, ["band"], ["at", "kind", "by", "doc_id"], {"rank": ("one", "sum")}))
-    where = seen.filter("kind <> 1").groupBy("doc_id", "band").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
-    return seen.filter("kind = 1").select("band", "rank", F.col("doc_id").alias("partner")), where
-
-
-def next_partners(members: DataFrame, asks: DataFrame, done: int, width: int) -> DataFrame:
-    """doc_id, partner, step: the members at the steps done + 1 to done + width from each ask's first, longer than its document or not."""
-    at = F.sequence(F.col("first") + done + 1, F.least(F.col("last"), F.col("first") + done + width))
-    tried = asks.filter(F.col("last") - F.col("first") > done).select("doc_id", "band", "first", F.explode(at).alias("rank"))
-    pairs = tried.join(members, ["band", "rank"]).filter("partner <> doc_id")
-    return pairs.groupBy("doc_id", "partner").agg(F.min(F.col("rank") - F.col("first")).alias("step"))
+
+def next_partners(asks: DataFrame, members: DataFrame, done: int, width: int) -> DataFrame:
+    """copy, partner, step: the members ranked done + 1 to done + width of each key of `asks`."""
+    pairs = asks.join(members.filter(F.col("rank").between(done + 1, done + width)), "key").filter(F.col("partner") != F.col("copy"))
+    return pairs.groupBy("copy", "partner").agg(F.min("rank").alias("step"))
