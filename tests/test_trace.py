@@ -141,3 +141,28 @@ def test_epochs_that_end_before_they_start(spark):
     for chain in (500, 0):
         got = {x.time_range: x.epoch for x in T.assign_epochs(events, spans, chain=chain).collect()}
         assert got == {4: 2, 5: 2, 6: 2, 9: 3}, chain
+
+
+def test_stretches_against_every_bucket(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(e, a, a + r.choice([-3, 0, 1, 5, 30])) for e, a in ((r.randint(1, 40), r.randint(-20, 80)) for _ in range(60))]
+    rows += [(99, -(10**15), 10**15)]  # one span over everything: no bucket of it is made
+    spans = spark.createDataFrame(rows, "epoch long, span_start long, span_end long")
+    want = {t: min(e for e, a, z in rows if a <= t <= z) for t in range(-30, 120)}
+    got = T.stretches(spans).collect()
+    assert {t: [x.epoch for x in got if x.a <= t <= x.z] for t in want} == {t: [e] for t, e in want.items()}
+    events = spark.range(-30, 120).select(F.col("id").alias("time_range"), F.lit(0).cast("long").alias("epoch"))
+    assert {x.time_range: x.epoch for x in T.assign_epochs(events.unionByName(events), spans, chain=5).collect()} == want
+    assert T.stretches(spans.limit(0)).count() == 0
+
+
+def test_sets_and_members(spark, monkeypatch):
+    rows = [("p", "posix", "read", f"f{i % 5}") for i in range(20)] + [("q", "posix", "read", None), ("r", "posix", "read", "only"), (None, "posix", "read", "n")]
+    e = spark.createDataFrame(rows, "proc_name string, cat string, func_name string, file_name string").selectExpr("*", "'0' as acc_pat", "1.0D as duration", "1L as count", "cast(null as long) as size")
+    sets = lambda: {x.proc_name: x.file_name_set for x in T.high_level_metrics(e, "").collect()}
+    assert sets() == {"p": [f"f{i}" for i in range(5)], "q": [], "r": ["only"], None: ["n"]}
+    monkeypatch.setattr(T, "MAX_SET", 4)
+    assert sets() == {"p": None, "q": [], "r": ["only"], None: ["n"]}
+    assert sorted(x.file_name for x in T.unique_members(e, "file_name", "").collect()) == ["f0", "f1", "f2", "f3", "f4", "n", "only"]

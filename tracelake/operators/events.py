@@ -11,7 +11,7 @@ from tracelake.operators.bits import bit_table, with_bit
 
 DAY_US = 86_400_000_000
 #: Blanks, controls, invisible format characters and non-characters at either end of a name.
-_EDGE = r"[\s\p{Z}\p{C}]+"
+EDGE = r"[\s\p{Z}\p{C}]+"
 
 
 def valid_events(trace: DataFrame) -> DataFrame:
@@ -47,9 +47,9 @@ def function_key(name: Column) -> Column:
     an instance number `#n` and the separator `::` are decoration. Digits in the name itself are not:
     pread and pread64 stay two functions.
     """
-    k = F.regexp_replace(name, f"^{_EDGE}|{_EDGE}$", "")
+    k = F.regexp_replace(name, f"^{EDGE}|{EDGE}$", "")
     k = F.regexp_replace(F.lower(k), r"(?:\(\)|@+[^@\s]*|#[0-9]+)+$", "")
-    k = F.regexp_replace(F.replace(k, F.lit("::"), F.lit(".")), f"{_EDGE}$", "")
+    k = F.regexp_replace(F.replace(k, F.lit("::"), F.lit(".")), f"{EDGE}$", "")
     return F.nullif(k, F.lit(""))
 
 

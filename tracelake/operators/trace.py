@@ -6,19 +6,24 @@ small aggregate for the time base, a join per hash dictionary, and one shuffle f
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalar as S
 from tracelake.functions import vocab as V
 from tracelake.functions.lines import is_event_line, without_comma
-from tracelake.session import cut, is_small
+from tracelake.operators.chunked import running
+from tracelake.session import cut, is_small, ship
 
 PARSED = {"type", "func_name", "cat", "ph", "pid", "tid", "hhash", "fhash", "time_start", "time_end", "duration", "count", "ret", "offset", "image_id", "epoch", "io_cat", "size", "acc_pat", *V.BIN_COLUMNS}
-#: Rows up to which a hash dictionary is broadcast; larger ones are joined by key.
+#: Rows up to which a hash dictionary is broadcast, if it is also small enough in bytes (`is_small`); larger ones are joined by key.
 BROADCAST_ROWS = 500_000
+#: Members up to which a group's set is given as an array.
+MAX_SET = 10_000
 
 
 def parse_trace(lines: DataFrame, value: str = "value", mode: str = "analyze") -> DataFrame:
@@ -133,10 +138,11 @@ def name_processes(events: DataFrame) -> DataFrame:
 def normalize_time(events: DataFrame, granularity: float = 1e6, resolution: float = 1e6) -> DataFrame:
     """Times relative to the earliest start; duration in units of `resolution`; time_range buckets of `granularity`.
 
-    The earliest start is one number: a scalar subquery over the same scan, reading one column.
+    The earliest start is a scalar subquery, run with the query that reads the result: an aggregate over the same
+    source, of the columns that decide which events there are and of the start.
     """
-    first = events.agg(F.min("time_start").alias("_tl_first")).first()[0]
-    start = F.col("time_start") - F.lit(first).cast("long")
+    first = events.agg(F.min("time_start").cast("long").alias("_tl_first")).scalar()
+    start = F.col("time_start") - first
     return events.withColumn("time_start", start).withColumns(
         {
             "time_end": F.try_add(F.col("time_start"), F.col("duration").try_cast("long")),
@@ -151,7 +157,7 @@ def epoch_spans(events: DataFrame, granularity: float = 1e6) -> DataFrame:
 
     Of equally long ones the earliest. Epoch 0 stands for none and has no span.
     """
-    marks = events.filter(S.is_epoch_event(F.col("cat"), F.col("func_name")) & (F.col("epoch") > 0))
+    marks = events.filter(S.is_epoch_event(F.col("cat"), F.col("func_name")) & (F.col("epoch") > 0) & F.col("time_end").isNotNull())
     end = S.time_range(F.col("time_end"), granularity)
     marks = marks.select("epoch", F.col("time_range").alias("s"), end.alias("e"))
     best = F.max_by(F.struct("s", "e"), F.struct((F.col("e") - F.col("s")).alias("d"), (-F.col("s")).alias("b")))
@@ -161,8 +167,8 @@ def epoch_spans(events: DataFrame, granularity: float = 1e6) -> DataFrame:
 def assign_epochs(events: DataFrame, spans: DataFrame, chain: int = 500) -> DataFrame:
     """epoch of the lowest-numbered span that holds the event's time_range; events outside all spans are left out.
 
-    Up to `chain` spans become one conditional expression, with no join. More are spread over the buckets they
-    cover, one epoch per bucket, and joined by bucket.
+    Up to `chain` spans become one conditional expression, with no join. More are made into stretches that don't
+    overlap; the different time ranges there are find their stretch in one order, and the events join them by range.
     """
     rows = spans.select("epoch", "span_start", "span_end").orderBy("epoch").limit(chain + 1).collect()
     if len(rows) <= chain:
@@ -172,9 +178,54 @@ def assign_epochs(events: DataFrame, spans: DataFrame, chain: int = 500) -> Data
             pick = F.when(inside, F.lit(e)) if pick is None else pick.when(inside, F.lit(e))
         pick = F.lit(None).cast("long") if pick is None else pick.cast("long")
         return events.withColumn("epoch", pick).filter("epoch is not null")
-    spans = spans.filter("span_end >= span_start")  # a span that ends before it starts holds nothing; sequence would count down
-    buckets = spans.withColumn("time_range", F.explode(F.sequence("span_start", "span_end"))).groupBy("time_range").agg(F.min("epoch").alias("epoch"))
-    return events.drop("epoch").join(buckets, "time_range")
+    none = F.lit(None).cast("long")
+    starts = stretches(spans).select(F.col("a").alias("time_range"), F.lit(0).alias("kind"), F.col("epoch").alias("of"), F.col("z").alias("until"))
+    ranges = events.select(F.col("time_range").cast("long").alias("time_range")).filter("time_range is not null").distinct().select("time_range", F.lit(1).alias("kind"), none.alias("of"), none.alias("until"))
+    seen = running(starts.unionByName(ranges).withColumn("all", F.lit(0)), ["all"], ["time_range", "kind"], {"of": ("of", "last"), "until": ("until", "last")})
+    found = seen.filter("kind = 1 and until >= time_range").select("time_range", F.col("of").alias("epoch"))
+    return events.drop("epoch").join(found, "time_range")
+
+
+def stretches(spans: DataFrame) -> DataFrame:
+    """a, z, epoch: stretches that don't overlap, each with the lowest epoch of the spans (epoch, span_start, span_end) that hold it.
+
+    A sweep over the starts with a heap of open spans, in one task: there is a row per epoch. A span that ends before
+    it starts holds nothing.
+    """
+    ship(spans.sparkSession)
+    rows = spans.select(*[F.col(c).cast("long").alias(c) for c in ("span_start", "span_end", "epoch")]).filter("span_end >= span_start")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[tuple[int, int]] = []
+        at = 0
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            for a, z, epoch in zip(*(c.to_pylist() for c in b.columns)):
+                at = _advance(open_, at, a, out) if open_ else a
+                heapq.heappush(open_, (epoch, z))
+            yield _stretch_batch(out)
+        out = []
+        _advance(open_, at, None, out)
+        yield _stretch_batch(out)
+
+    return rows.repartition(1).sortWithinPartitions("span_start", "epoch").mapInArrow(sweep, "a long, z long, epoch long")
+
+
+def _advance(open_: list[tuple[int, int]], at: int, to: int | None, out: list[tuple[int, int, int]]) -> int:
+    """Give out what the open spans hold from `at` to before `to` (None: to their end)."""
+    while open_ and (to is None or at < to):
+        epoch, end = open_[0]
+        if end < at:
+            heapq.heappop(open_)
+            continue
+        last = end if to is None else min(end, to - 1)
+        out.append((at, last, epoch))
+        at = last + 1
+    return at if to is None else max(at, to)
+
+
+def _stretch_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["a", "z", "epoch"])
 
 
 def views_of(views: str | Sequence[str]) -> list[str]:
@@ -187,16 +238,37 @@ def high_level_metrics(events: DataFrame, views: str | Sequence[str] = ("proc_na
     """time, count, size and size bins per views, cat, io_cat (as code), acc_pat and func_name.
 
     Unknown sizes are left out; a group without any has NULL. With `sets`, the views that aren't keys come as
-    sorted arrays of their different values. Durations are added exactly, to a billionth; NaN and what is
-    too large for that is left out.
+    sorted arrays of their different values, or as NULL where there are more than MAX_SET: `unique_members` has
+    those, a row each. Durations are added exactly, to a billionth; NaN and what is too large for that is left out.
     """
     keys = list(dict.fromkeys([*views_of(views), *V.EXTRA_KEYS]))
     rows = events.withColumn("io_cat", S.io_category_code(F.col("func_name")).cast("string"))
     aggs = [F.sum(F.col("duration").try_cast("decimal(28,9)")).cast("double").alias("time"), F.sum("count").alias("count"), F.sum("size").alias("size")]
     aggs += [F.sum(b).alias(b) for b in V.BIN_COLUMNS if b in events.columns]
+    out = rows.groupBy(*keys).agg(*aggs)
     if sets:
-        aggs += [F.sort_array(F.collect_set(v)).alias(f"{v}_set") for v in ("file_name", "proc_name") if v not in keys and v in events.columns]
-    return rows.groupBy(*keys).agg(*aggs)
+        for v in ("file_name", "proc_name"):
+            if v not in keys and v in events.columns:
+                out = _with_set(out, unique_members(events, v, views), keys, v)
+    return out
+
+
+def unique_members(events: DataFrame, member: str, views: str | Sequence[str] = ("proc_name", "file_name")) -> DataFrame:
+    """Every different value of `member` in each group of `high_level_metrics`, a row each; NULL is none."""
+    keys = list(dict.fromkeys([*views_of(views), *V.EXTRA_KEYS]))
+    rows = events.withColumn("io_cat", S.io_category_code(F.col("func_name")).cast("string"))
+    return rows.filter(F.col(member).isNotNull()).select(*keys, member).distinct()
+
+
+def _with_set(metrics: DataFrame, members: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
+    """`metrics` with the members of each group that has at most MAX_SET as an array; the counts come first, so no larger group is ever gathered."""
+    counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tl_n"))
+    few = members.join(counts.filter(F.col("_tl_n") <= MAX_SET), [members[k].eqNullSafe(counts[k]) for k in keys], "left_semi")
+    sets = few.groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("_tl_set")).join(counts.withColumnsRenamed({k: f"_tl_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_tl_{k}")) for k in keys], "right")
+    sets = sets.select(*[f"_tl_{k}" for k in keys], "_tl_set", F.lit(True).alias("_tl_some"))
+    joined = metrics.join(sets, [F.col(k).eqNullSafe(F.col(f"_tl_{k}")) for k in keys], "left")
+    none = F.array().cast("array<string>")
+    return joined.withColumn(f"{member}_set", F.when(F.col("_tl_some"), F.col("_tl_set")).otherwise(none)).drop("_tl_set", "_tl_some", *[f"_tl_{k}" for k in keys])
 
 
 def metric_totals(metrics: DataFrame) -> DataFrame:

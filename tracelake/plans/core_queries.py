@@ -168,12 +168,12 @@ def normalized_time(spark, d):
 
 # High-level metrics
 @query(
-    f"""WITH {_T} SELECT cat, CAST({W.code_sql()} AS VARCHAR) AS io_cat, func_name, CAST(sum(CAST(duration AS DECIMAL(24,6))) AS DOUBLE) AS time, CAST(sum(count) AS BIGINT) AS count
+    f"""WITH {_T} SELECT cat, CAST({W.code_sql()} AS VARCHAR) AS io_cat, func_name, CAST(sum(TRY_CAST(duration AS DECIMAL(24,6))) AS DOUBLE) AS time, CAST(sum(count) AS BIGINT) AS count
 FROM ev GROUP BY ALL"""
 )
 def hlm_basic(spark, d):
     e = W.raw_events(spark, d).withColumn("io_cat", S.io_category_code(F.col("func_name")).cast("string"))
-    return e.groupBy("cat", "io_cat", "func_name").agg(F.sum(F.col("duration").cast("decimal(24,6)")).cast("double").alias("time"), F.sum("count").alias("count"))
+    return e.groupBy("cat", "io_cat", "func_name").agg(F.sum(F.col("duration").try_cast("decimal(24,6)")).cast("double").alias("time"), F.sum("count").alias("count"))
 
 
 def _hlm(name: str, views: str, keys: list[str]) -> None:
@@ -210,30 +210,26 @@ def hlm_totals(spark, d):
 
 
 # Epochs
-def _marked(spark, d):
-    return W.with_epoch_marks(W.timed_events(spark, d))
-
-
 @query(f"WITH {W.EPOCH_SQL} SELECT epoch, span_start, span_end, span_duration FROM spans")
 def epoch_spans(spark, d):
-    return T.epoch_spans(_marked(spark, d), 3.6e9)
+    return T.epoch_spans(W.timed_events(spark, d), 3.6e9)
 
 
 @query(f"WITH {W.EPOCH_SQL} SELECT event_id, epoch FROM assigned")
 def epoch_assign(spark, d):
-    m = _marked(spark, d)
+    m = W.timed_events(spark, d)
     return T.assign_epochs(m, T.epoch_spans(m, 3.6e9)).select("event_id", "epoch")
 
 
 @query(f"WITH {W.EPOCH_SQL} SELECT event_id, epoch FROM assigned")
 def epoch_assign_by_bucket(spark, d):
-    m = _marked(spark, d)
+    m = W.timed_events(spark, d)
     return T.assign_epochs(m, T.epoch_spans(m, 3.6e9), chain=0).select("event_id", "epoch")
 
 
 @query(W.hlm_sql(["epoch", "proc_name"], source="assigned", pre=W.EPOCH_SQL))
 def hlm_epoch(spark, d):
-    m = _marked(spark, d)
+    m = W.timed_events(spark, d)
     return T.high_level_metrics(T.assign_epochs(m, T.epoch_spans(m, 3.6e9)), "epoch", sets=False)
 
 

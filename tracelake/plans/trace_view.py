@@ -1,40 +1,47 @@
-"""The trace that the queries analyse: typed events derived from the driver's `events` table, and the same in SQL."""
+"""The trace that the queries analyse: typed events from the driver's `trace` table, each once, and the same in SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import vocab as V
 from tracelake.operators import trace as T
+from tracelake.operators.events import EDGE, distinct_events
 from tracelake.session import table
 
-_FUNC = "CASE event_type WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'write' WHEN 'click' THEN 'open64' WHEN 'signup' THEN 'fsync' ELSE 'custom.step' END"
-_CAT = "CASE WHEN event_type = 'error' THEN 'APP' WHEN user_id % 2 = 0 THEN 'POSIX' ELSE 'STDIO' END"
-_FOLDER = "CASE n_nationkey % 6 WHEN 0 THEN '/checkpoint/' WHEN 1 THEN '/data/' WHEN 2 THEN '/lustre/' WHEN 3 THEN '/ssd/' WHEN 4 THEN '/usr/lib/' ELSE '/home/' END"
+_HASH = rf"^{EDGE[:-1]}*(?:0x)?0*([0-9a-f]{{1,16}}){EDGE[:-1]}*$"
+
+
+def plain_hash(text: Column) -> Column:
+    """The 16 digits of the hexadecimal number that a hash spells; '' for NULL, and what isn't a number as it is."""
+    digits = F.regexp_extract(F.lower(text), _HASH, 1)
+    return F.when(digits != "", F.lpad(digits, 16, "0")).otherwise(F.coalesce(text, F.lit("")))
 
 
 def raw_events(spark: SparkSession, d: str) -> DataFrame:
-    """Events as a parser would give them, before classification."""
-    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
-    start = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, d, "events").withColumn("k", k).select(
-        "event_id",
-        F.expr(_FUNC).alias("func_name"),
-        F.lower(F.expr(_CAT)).alias("cat"),
-        F.lit(V.REGULAR).alias("type"),
-        F.col("user_id").alias("pid"),
-        (F.col("user_id") % 4).alias("tid"),
-        (F.col("event_id") % 25).cast("string").alias("fhash"),
-        (F.col("user_id") % 5).cast("string").alias("hhash"),
-        start.alias("time_start"),
-        (start + F.col("value").cast("long")).alias("time_end"),
-        F.col("value").alias("duration"),
-        F.lit(1).cast("long").alias("count"),
-        F.expr("k * k * k * 1024").alias("ret"),
-        (F.col("event_id") * 512).alias("offset"),
-        F.lit(None).cast("long").alias("image_id"),
-        F.lit(0).cast("long").alias("epoch"),
+    """Events as a parser would give them, before classification; those without a name or a category, and those of ignored functions, are left out."""
+    columns = ["func_name", "cat", "pid", "tid", "hhash", "fhash", "time_start", "time_end", "duration", "epoch", "size", "file_offset", "image_id"]
+    e = distinct_events(table(spark, d, "trace"), columns)
+    return T.kept_events(
+        e.select(
+            "event_id",
+            F.coalesce("func_name", F.lit("")).alias("func_name"),
+            F.lower(F.regexp_replace(F.coalesce("cat", F.lit("")), f"^{EDGE}|{EDGE}$", "")).alias("cat"),
+            F.lit(V.REGULAR).alias("type"),
+            "pid",
+            "tid",
+            plain_hash(F.col("fhash")).alias("fhash"),
+            plain_hash(F.col("hhash")).alias("hhash"),
+            "time_start",
+            "time_end",
+            "duration",
+            F.lit(1).cast("long").alias("count"),
+            F.col("size").alias("ret"),
+            F.col("file_offset").alias("offset"),
+            "image_id",
+            F.coalesce("epoch", F.lit(0).cast("long")).alias("epoch"),
+        )
     )
 
 
@@ -42,13 +49,16 @@ def trace_events(spark: SparkSession, d: str) -> DataFrame:
     return T.classify(raw_events(spark, d))
 
 
+def _dictionary(spark: SparkSession, d: str, name: str, key: str, value: str) -> DataFrame:
+    return T.hash_dictionary(table(spark, d, name).select(plain_hash(F.col(key)).alias(key), value), key, value)
+
+
 def file_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("h"), F.concat(F.expr(_FOLDER), F.col("n_name")).alias("n"))
-    return T.hash_dictionary(n, "h", "n")
+    return _dictionary(spark, d, "file_hashes", "fhash", "file_name")
 
 
 def host_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    return T.hash_dictionary(table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("h"), F.col("r_name").alias("n")), "h", "n")
+    return _dictionary(spark, d, "host_hashes", "hhash", "host_name")
 
 
 def named_events(spark: SparkSession, d: str) -> DataFrame:
@@ -59,20 +69,6 @@ def timed_events(spark: SparkSession, d: str, granularity: float = 3.6e9) -> Dat
     return T.normalize_time(named_events(spark, d), granularity)
 
 
-def with_epoch_marks(events: DataFrame) -> DataFrame:
-    """Normalised events whose error events stand for epochs: one per day, numbered from 1, of 0 to 19 hours."""
-    mark = F.col("cat") == "app"
-    day = F.call_function("div", F.col("time_start"), F.lit(86_400_000_000)) + 1
-    return events.withColumns(
-        {
-            "epoch": F.when(mark, day).otherwise(F.col("epoch")),
-            "time_end": F.when(mark, F.col("time_start") + F.col("event_id") % 20 * F.lit(3_600_000_000)).otherwise(F.col("time_end")),
-            "cat": F.when(mark, V.EPOCH_CATEGORY).otherwise(F.col("cat")),
-            "func_name": F.when(mark, "epoch").otherwise(F.col("func_name")),
-        }
-    )
-
-
 def names(xs: list[str]) -> str:
     return ", ".join(f"'{x}'" for x in xs)
 
@@ -95,31 +91,35 @@ def bins_sql(size: str = "size") -> str:
 _PATHS = " OR ".join(f"contains(file_name, '{p}')" for p in V.IGNORED_PATHS)
 _ENRICH = " ".join(f"WHEN contains(file_name, '{a}') THEN cat || '{b}'" for a, b in V.PATH_SUFFIXES)
 
+_EDGES = lambda c: f"regexp_replace({c}, '^{EDGE}|{EDGE}$', '', 'g')"
+_DIGITS = lambda c: f"regexp_extract(lower({c}), '{_HASH}', 1)"
+_PLAIN = lambda c: f"CASE WHEN {_DIGITS(c)} <> '' THEN lpad({_DIGITS(c)}, 16, '0') ELSE coalesce({c}, '') END"
+IGNORED_SQL = f"(func_name IN ({names(V.IGNORED_FUNCTIONS)}) OR " + " OR ".join(f"contains(func_name, '{p}')" for p in V.IGNORED_PARTS) + ")"
+
 #: Common table expressions: ev (classified), named (resolved, enriched, filtered), timed (hourly buckets).
-TRACE_SQL = f"""r AS (SELECT event_id, {_FUNC} AS func_name, lower({_CAT}) AS cat, 0 AS type, user_id AS pid, user_id % 4 AS tid,
-  CAST(event_id % 25 AS VARCHAR) AS fhash, CAST(user_id % 5 AS VARCHAR) AS hhash, epoch_us(ts) AS time_start, epoch_us(ts) + CAST(trunc(value) AS BIGINT) AS time_end,
-  value AS duration, 1 AS count, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id * 512 AS "offset" FROM events),
-c AS (SELECT * EXCLUDE (k, "offset"), CASE WHEN cat IN ('posix','stdio') THEN {label_sql()} ELSE 'other' END AS io_cat,
-  CASE WHEN cat IN ('posix','stdio') AND {label_sql()} IN ('read','write') AND k*k*k*1024 > 0 THEN k*k*k*1024 END AS size,
-  CASE WHEN cat IN ('posix','stdio') THEN "offset" END AS "offset", '0' AS acc_pat FROM r),
+TRACE_SQL = f"""once AS (SELECT * FROM trace WHERE is_valid IS DISTINCT FROM false
+  QUALIFY event_id IS NULL OR row_number() OVER (PARTITION BY event_id ORDER BY ingested_at NULLS FIRST) = 1),
+r AS (SELECT event_id, coalesce(func_name, '') AS func_name, lower({_EDGES("coalesce(cat, '')")}) AS cat, 0 AS type, pid, tid, {_PLAIN("fhash")} AS fhash, {_PLAIN("hhash")} AS hhash,
+  time_start, time_end, duration, 1 AS count, size AS ret, file_offset AS "offset", image_id, coalesce(epoch, 0) AS epoch FROM once),
+k AS (SELECT * FROM r WHERE func_name <> '' AND cat <> '' AND NOT {IGNORED_SQL}),
+c AS (SELECT * EXCLUDE (ret, "offset", image_id), CASE WHEN cat IN ('posix','stdio') THEN {label_sql()} ELSE 'other' END AS io_cat,
+  CASE WHEN cat IN ('posix','stdio') AND {label_sql()} IN ('read','write') AND ret > 0 THEN ret END AS size,
+  CASE WHEN cat IN ('posix','stdio') THEN "offset" END AS "offset", CASE WHEN cat NOT IN ('posix','stdio') THEN image_id END AS image_id, '0' AS acc_pat FROM k),
 ev AS (SELECT *, {bins_sql()} FROM c),
-fd AS (SELECT CAST(n_nationkey AS VARCHAR) AS fhash, max({_FOLDER} || n_name) AS file_name FROM nation GROUP BY 1),
-hd AS (SELECT CAST(r_regionkey AS VARCHAR) AS hhash, max(r_name) AS host_name FROM region GROUP BY 1),
+fd AS (SELECT {_PLAIN("fhash")} AS fhash, max(file_name) AS file_name FROM file_hashes WHERE {_PLAIN("fhash")} <> '' GROUP BY 1),
+hd AS (SELECT {_PLAIN("hhash")} AS hhash, max(host_name) AS host_name FROM host_hashes WHERE {_PLAIN("hhash")} <> '' GROUP BY 1),
 resolved AS (SELECT ev.*, file_name, host_name FROM ev LEFT JOIN fd USING (fhash) LEFT JOIN hd USING (hhash)),
 named AS (SELECT * REPLACE (CASE WHEN cat IN ('posix','stdio') THEN CASE {_ENRICH} ELSE cat END ELSE cat END AS cat),
-  'app#' || coalesce(nullif(host_name, ''), 'unknown') || '#' || pid || '#' || tid AS proc_name FROM resolved WHERE NOT coalesce({_PATHS}, false)),
+  concat_ws('#', 'app', coalesce(nullif(host_name, ''), 'unknown'), pid, tid) AS proc_name FROM resolved WHERE NOT coalesce({_PATHS}, false)),
 first AS (SELECT min(time_start) AS t0 FROM named),
-timed AS (SELECT * REPLACE (time_start - t0 AS time_start, time_start - t0 + CAST(trunc(duration) AS BIGINT) AS time_end, duration / 1e6 AS duration),
+timed AS (SELECT * REPLACE (time_start - t0 AS time_start, time_start - t0 + TRY_CAST(trunc(duration) AS BIGINT) AS time_end, duration / 1e6 AS duration),
   (time_start - t0) // 3600000000 AS time_range FROM named, first)"""
 EPOCH_SQL = f"""{TRACE_SQL},
-marked AS (SELECT * REPLACE (CASE WHEN cat = 'app' THEN time_start + event_id % 20 * 3600000000 ELSE time_end END AS time_end,
-  CASE WHEN cat = 'app' THEN 'pipeline' ELSE cat END AS cat, CASE WHEN cat = 'app' THEN 'epoch' ELSE func_name END AS func_name),
-  CASE WHEN cat = 'app' THEN time_start // 86400000000 + 1 ELSE 0 END AS epoch FROM timed),
-spans AS (SELECT epoch, time_range AS span_start, time_end // 3600000000 AS span_end, time_end // 3600000000 - time_range AS span_duration FROM marked
-  WHERE cat = 'pipeline' AND func_name = 'epoch' AND epoch > 0
+spans AS (SELECT epoch, time_range AS span_start, time_end // 3600000000 AS span_end, time_end // 3600000000 - time_range AS span_duration FROM timed
+  WHERE cat = 'pipeline' AND func_name IN ({names(V.EPOCH_NAMES)}) AND epoch > 0 AND time_end IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY epoch ORDER BY time_end // 3600000000 - time_range DESC, time_range) = 1),
-assigned AS (SELECT m.* REPLACE (s.epoch AS epoch) FROM (SELECT event_id, min(s.epoch) AS epoch FROM marked m JOIN spans s ON m.time_range BETWEEN s.span_start AND s.span_end GROUP BY event_id) s
-  JOIN marked m USING (event_id))"""
+assigned AS (SELECT m.* REPLACE (s.epoch AS epoch) FROM (SELECT t.time_range, min(s.epoch) AS epoch FROM (SELECT DISTINCT time_range FROM timed) t JOIN spans s ON t.time_range BETWEEN s.span_start AND s.span_end GROUP BY 1) s
+  JOIN timed m USING (time_range))"""
 BIN_SUMS_SQL = ", ".join(f"CAST(sum({b}) AS BIGINT) AS {b}" for b in V.BIN_COLUMNS)
 
 
@@ -127,6 +127,6 @@ def hlm_sql(keys: list[str], sets: list[str] = (), source: str = "timed", pre: s
     """High-level metrics by `keys` (before the extra keys) in SQL."""
     extra = [k for k in V.EXTRA_KEYS if k not in keys]
     cols = ", ".join([*keys, *extra])
-    sets_ = "".join(f", array_to_string(list_sort(list(DISTINCT {s}) FILTER ({s} IS NOT NULL)), '|') AS {s}_set" for s in sets)
+    sets_ = "".join(f", coalesce(array_to_string(list_sort(list(DISTINCT {s}) FILTER ({s} IS NOT NULL)), '|'), '') AS {s}_set" for s in sets)
     return f"""WITH {pre}, h AS (SELECT * REPLACE (CAST({code_sql()} AS VARCHAR) AS io_cat) FROM {source})
-SELECT {cols}, CAST(sum(CAST(duration AS DECIMAL(28,9))) AS DOUBLE) AS time, CAST(sum(count) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS size, {BIN_SUMS_SQL}{sets_} FROM h GROUP BY {cols}"""
+SELECT {cols}, CAST(sum(TRY_CAST(duration AS DECIMAL(28,9))) AS DOUBLE) AS time, CAST(sum(count) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS size, {BIN_SUMS_SQL}{sets_} FROM h GROUP BY {cols}"""

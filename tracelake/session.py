@@ -6,9 +6,13 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[*]", app: str = "tracelake", **conf: str) -> SparkSession:
@@ -18,6 +22,7 @@ def build_session(master: str = "local[*]", app: str = "tracelake", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -56,13 +61,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` once in the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the session names in spark.checkpoint.dir; only where none is set
-    (local tests) a temporary one is made. The files survive the loss of executors.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of this application's checkpoints: in the one the session names in spark.checkpoint.dir; only where none is set (local
+    tests) a temporary one is made."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         conf = sc.getConf().get("spark.checkpoint.dir", None)
         if conf is None:
@@ -71,18 +73,51 @@ def cut(df: DataFrame) -> DataFrame:
             conf = tempfile.mkdtemp(prefix="tracelake-checkpoint-")
             atexit.register(shutil.rmtree, conf, ignore_errors=True)
         sc.setCheckpointDir(conf)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` once in the shared checkpoint folder and cut its lineage. The files survive the loss of executors.
+
+    They are removed by `scratch`, or by Spark once nothing refers to them, where the session sets
+    spark.cleaner.referenceTracking.cleanCheckpoints (as `build_session` does).
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, rows: int, sure_bytes: int = 64 << 10) -> bool:
-    """Whether `df`, which has different keys, has at most `rows` rows.
+def scratch_folder(spark: SparkSession) -> str:
+    """A new name beside the checkpoints, for tables that are written and read again."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is cut or written to a scratch folder inside is removed at the end, so results have to be written inside too."""
+    sc = spark.sparkContext
+    outer = checkpoint_folder(spark)
+    sc.setCheckpointDir(os.path.dirname(outer))
+    inner = checkpoint_folder(spark)
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(inner)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        sc.setCheckpointDir(os.path.dirname(outer))
+
+
+def is_small(df: DataFrame, rows: int, sure_bytes: int = 64 << 10, most_bytes: int = 64 << 20) -> bool:
+    """Whether `df`, which has different keys, has at most `rows` rows and they take at most `most_bytes`, so it may be broadcast.
 
     No job is needed where the optimizer knows that its sources hold at most `sure_bytes` (and no key takes less
-    than a byte of those); else the rows are counted, as far as `rows`.
+    than a byte of those); else its rows and the bytes of their texts are counted.
     """
     if rows >= sure_bytes and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= sure_bytes:
         return True
-    return df.limit(rows + 1).count() <= rows
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    each = sum(texts, F.lit(16 * (len(df.columns) + 1)).cast("long"))
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(each), F.lit(0))).first()
+    return n <= rows and size <= most_bytes
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
