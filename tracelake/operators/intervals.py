@@ -7,17 +7,30 @@ shards carries it forward. Each shard then knows the coverage that touches its l
 its own breaks. Level two stitches: it sees one row per shard, and joins the period that is open at the
 end of a shard with the first break of a later one.
 
-An entity holding a third of all rows is spread over its shards. A shard's group is sorted and streamed,
-and spills; it holds no more different starts than the shard has microseconds.
+An entity holding a third of all rows is spread over its shards. Before anything is shuffled, of the intervals
+of one start that a task reads together only the longest is kept, so however many intervals start at one time, few of
+them reach the group of their shard, which is sorted, streamed and spilled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.session import ship
+
+
+def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a batch that differ in nothing but their end, the one with the latest."""
+    for b in batches:
+        names = b.schema.names
+        keys = [n for n in names if n != "_tl_e"]
+        t = pa.Table.from_batches([b]).group_by(keys, use_threads=False).aggregate([("_tl_e", "max")])
+        yield from t.select([*(n if n != "_tl_e" else "_tl_e_max" for n in names)]).rename_columns(names).combine_chunks().to_batches()
+
 
 def periods_and_gaps(
     intervals: DataFrame,
@@ -41,6 +54,8 @@ def periods_and_gaps(
         .filter(s.isNotNull() & (e >= s))
         .withColumn("_tl_shard", F.expr(f"_tl_s div {int(shard_us)}L"))
     )
+    ship(iv.sparkSession)
+    iv = iv.mapInArrow(_longest, iv.schema)
     over_shards = Window.partitionBy(*ent).orderBy("_tl_shard")
     carried = (
         iv.groupBy(*ent, "_tl_shard")
