@@ -57,8 +57,10 @@ def consolidation_plan(contents: DataFrame, target_bytes: int = 128 << 20, rows_
 
     Contents are spread evenly by a hash of their identity into lanes of about `rows_per_lane`, so an archive
     with a third of all members is no heavier than others; a lane fills its targets in order of name and id.
-    Every target but a lane's last of each kind is within one content of `target_bytes`. The
-    contents are materialised: their count sets the number of lanes, one shuffle lays them out.
+    Every target but a lane's last of each kind is within one content of `target_bytes`. Only contents of a target
+    that they fill from its first byte to its last, each byte once, come out; that is all of them, or the plan is
+    broken and what is missing shows it. The contents are materialised: their count sets the number of lanes, one
+    shuffle lays them out.
     """
     rows = cut(contents.select("src_table", "id", "name", "byte_size", "n_rows", content_kind(F.col("name")).alias("kind")))
     n = rows.count()
@@ -68,16 +70,13 @@ def consolidation_plan(contents: DataFrame, target_bytes: int = 128 << 20, rows_
     upto = F.sum("byte_size").over(order.rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.withColumn("at", F.coalesce(upto, F.lit(0))).withColumn("slot", F.floor(F.col("at") / F.lit(float(target_bytes))).cast("long"))
     inside = Window.partitionBy("kind", "lane", "slot")
-    return placed.select(
-        "src_table",
-        "id",
-        "name",
-        "byte_size",
-        "n_rows",
-        F.format_string("%s-%05d-%06d", "kind", "lane", "slot").alias("target_file"),
-        (F.col("at") - F.min("at").over(inside)).alias("target_offset"),
-        F.sum("byte_size").over(inside).alias("target_bytes"),
-    )
+    before = inside.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    first, end = F.min("at").over(inside), F.col("at") + F.col("byte_size")
+    placed = placed.withColumns({"first": first, "total": F.sum("byte_size").over(inside), "last": F.max(end).over(inside), "gap": F.col("at") - F.coalesce(F.max(end).over(before), first)})
+    sound = (F.max(F.abs("gap")).over(inside) == 0) & (F.col("last") - F.col("first") == F.col("total"))
+    return placed.withColumn("sound", sound).filter("sound").select(
+        "src_table", "id", "name", "byte_size", "n_rows", F.format_string("%s-%05d-%06d", "kind", "lane", "slot").alias("target_file"), (F.col("at") - F.col("first")).alias("target_offset"), F.col("total").alias("target_bytes")
+    )
 
 
 def plan_totals(plan: DataFrame) -> DataFrame:
@@ -88,9 +87,10 @@ def plan_totals(plan: DataFrame) -> DataFrame:
     )
 
 
-def compact_parquet(spark: SparkSession, paths: Sequence[str], out_dir: str, target_bytes: int = 128 << 20) -> DataFrame:
+def compact_parquet(spark: SparkSession, paths: Sequence[str] | DataFrame, out_dir: str, target_bytes: int = 128 << 20) -> DataFrame:
     """Copy the row groups of Parquet files into fewer files of about `target_bytes` under `out_dir`.
 
+    `paths`: a list, or a frame with a column `path` (as `list_files` gives), on any filesystem `sources.fs` knows.
     Files of one schema share targets. Returns target, schema_id, n_files, n_blocks, n_rows, n_bytes of each
     file written. Footers are read on executors; the plan, a row per file, is laid out as in
     `consolidation_plan`. The written footers are read again: schema, block count and row total must equal
@@ -98,12 +98,35 @@ def compact_parquet(spark: SparkSession, paths: Sequence[str], out_dir: str, tar
     twice leaves one file. Files with no row group are valid sources without rows; an empty list gives no rows.
     """
     ship(spark)
-    given = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism)))
-    infos = cut(given.mapInPandas(parquet_blocks.describe, "path string, schema_id string, n_blocks long, n_rows long, n_bytes long"))
-    lanes = max(1, math.ceil(len(paths) / 100_000))
+    given = paths.select("path") if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "path string")
+    infos = cut(given.repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInPandas(parquet_blocks.describe, "path string, schema_id string, n_blocks long, n_rows long, n_bytes long"))
+    lanes = max(1, math.ceil(infos.count() / 100_000))
     infos = infos.withColumn("lane", F.pmod(F.xxhash64("path"), F.lit(lanes)).cast("int"))
     order = Window.partitionBy("schema_id", "lane").orderBy("path")
     upto = F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
     slots = infos.withColumn("slot", F.floor(F.coalesce(upto, F.lit(0)) / F.lit(float(target_bytes))).cast("long"))
     write = parquet_blocks.writer(out_dir)
     return slots.groupBy("schema_id", "lane", "slot").applyInPandas(write, "target string, schema_id string, n_files long, n_blocks long, n_rows long, n_bytes long")
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """path, byte_size of the files under `folder`, listed by Spark (in parallel where there are many); no content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", F.col("length").alias("byte_size"))
+
+
+def copy_totals(df: DataFrame, folder: str, records_per_file: int = 2_000) -> DataFrame:
+    """`df` written to `folder` as many small Parquet files and compacted from there: one row with n_rows, n_copied (by the copies' footers),
+    same (whether the copies hold the same rows, by number and a sum of hashes) and fewer (whether there are no more files than before).
+
+    Equal rows count as often as they come. The hash reads every column but maps, which have none.
+    """
+    spark = df.sparkSession
+    small, large = f"{folder}/small", f"{folder}/large"
+    df.write.option("maxRecordsPerFile", records_per_file).parquet(small)
+    done = cut(compact_parquet(spark, list_files(spark, small), large)).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_copied"), (F.count(F.lit(1)) <= F.coalesce(F.sum("n_files"), F.lit(0))).alias("fewer"))
+    columns = [F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("map")]
+    known = lambda x: x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h"))
+    before, after = known(df), known(spark.read.schema(df.schema).parquet(large))
+    same = lambda c: before.select(c).scalar().eqNullSafe(after.select(c).scalar())
+    return done.select(before.select("n").scalar().alias("n_rows"), "n_copied", (same("n") & same("h")).alias("same"), "fewer")

@@ -8,13 +8,14 @@ the row groups, are dropped.
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 
+from tracelake.sources import fs
+
 MAGIC = b"PAR1"
 # Thrift compact types, and the field ids of the Parquet footer that are used here.
 BOOL_TRUE, BOOL_FALSE, BYTE, I16, I32, I64, DOUBLE, BINARY, LIST, SET, MAP, STRUCT = range(1, 13)
@@ -119,9 +120,8 @@ def _write(kind: int, v) -> bytes:
 
 def read_footer(path: str) -> dict:
     """The footer's tree. Raises ValueError where the file isn't plain Parquet."""
-    with open(path, "rb") as f:
-        f.seek(0, os.SEEK_END)
-        size = f.tell()
+    with fs.open_file(path) as f:
+        size = f.size()
         if size < 12:
             raise ValueError(f"{path}: too short")
         f.seek(size - 8)
@@ -185,55 +185,54 @@ def _moved(group: dict, by: int, ordinal: int) -> dict:
 
 
 def concatenate(paths: list[str], target: str) -> tuple[int, int, int]:
-    """Write `target` from the row groups of `paths` (one schema). Returns blocks, rows and bytes copied."""
+    """Write `target` from the row groups of `paths` (one schema). Returns blocks, rows and bytes copied.
+
+    It is written under another name, read again and renamed, so a reader never sees half of it.
+    """
     part = f"{target}.{uuid.uuid4().hex}.part"
     moved: list[dict] = []
     rows = copied = 0
     base: dict | None = None
-    try:
-        with open(part, "wb") as out:
-            out.write(MAGIC)
-            for p in paths:
-                footer = read_footer(p)
-                if base is None:
-                    base = footer
-                elif schema_id(footer) != schema_id(base):
-                    raise ValueError(f"{p}: another schema than {paths[0]}")
-                rows += footer[FILE_ROWS][1]
-                with open(p, "rb") as src:
-                    for g in groups(footer):
-                        a, z = extent(g)
-                        moved.append(_moved(g, out.tell() - a, len(moved)))
-                        src.seek(a)
-                        left = z - a
-                        while left:
-                            block = src.read(min(left, 1 << 20))
-                            if not block:
-                                raise ValueError(f"{p}: shorter than its footer says")
-                            out.write(block)
-                            left -= len(block)
-                        copied += z - a
+    with fs.finished(target, part) as out:
+        out.write(MAGIC)
+        for p in paths:
+            footer = read_footer(p)
             if base is None:
-                raise ValueError("no files to join")
-            tail = _write(STRUCT, base | {FILE_ROWS: (I64, rows), FILE_GROUPS: (LIST, (STRUCT, moved))})
-            out.write(tail + struct.pack("<I", len(tail)) + MAGIC)
+                base = footer
+            elif schema_id(footer) != schema_id(base):
+                raise ValueError(f"{p}: another schema than {paths[0]}")
+            rows += footer[FILE_ROWS][1]
+            with fs.open_file(p) as src:
+                for g in groups(footer):
+                    a, z = extent(g)
+                    moved.append(_moved(g, out.tell() - a, len(moved)))
+                    src.seek(a)
+                    left = z - a
+                    while left:
+                        block = src.read(min(left, 1 << 20))
+                        if not block:
+                            raise ValueError(f"{p}: shorter than its footer says")
+                        out.write(block)
+                        left -= len(block)
+                    copied += z - a
+        if base is None:
+            raise ValueError("no files to join")
+        tail = _write(STRUCT, base | {FILE_ROWS: (I64, rows), FILE_GROUPS: (LIST, (STRUCT, moved))})
+        out.write(tail + struct.pack("<I", len(tail)) + MAGIC)
+        out.close()
         again = read_footer(part)
         found = (schema_id(again), len(groups(again)), again[FILE_ROWS][1], sum(g[GROUP_ROWS][1] for g in groups(again)))
         if found != (schema_id(base), len(moved), rows, rows):
             raise ValueError(f"{target}: schema, blocks or rows differ from the sources: {found}")
-        os.replace(part, target)
-    finally:
-        if os.path.exists(part):
-            os.remove(part)
     return len(moved), rows, copied
 
 
 def writer(out_dir: str):
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        os.makedirs(out_dir, exist_ok=True)
+        fs.make_folder(out_dir)
         pdf = pdf.sort_values("path")
         sid = pdf["schema_id"].iloc[0]
-        target = os.path.join(out_dir, f"{sid}-{pdf['lane'].iloc[0]:05d}-{pdf['slot'].iloc[0]:06d}.parquet")
+        target = fs.join(out_dir, f"{sid}-{pdf['lane'].iloc[0]:05d}-{pdf['slot'].iloc[0]:06d}.parquet")
         blocks, rows, size = concatenate(list(pdf["path"]), target)
         if (blocks, rows) != (int(pdf["n_blocks"].sum()), int(pdf["n_rows"].sum())):
             raise ValueError(f"{target}: a source changed while it was copied")
