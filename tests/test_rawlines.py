@@ -132,3 +132,47 @@ def test_chunk_size_does_not_matter():
     records = [mutated(r).encode() for _ in range(300)]
     a, b = rawlines.tokenize(records, 7), rawlines.tokenize(records, 4096)
     assert all((x == y).all() for x, y in zip(a, b))
+
+
+JSON = '{"name":" r ","cat":"c","ph":"X","pid":1,"tid":1,"ts":5,"dur":1.5,"args":{"ret":3,"epoch":"2","hhash":"ab","fhash":"","note":"\u00e9\\t","x":[1,{"y":[]}]}}'
+
+
+def broken(r: random.Random) -> str:
+    s = list(JSON)
+    for _ in range(r.randint(0, 3)):
+        k = r.randrange(len(s))
+        s[k : k + r.randint(0, 2)] = r.choice(['"', ",", " ", "\t", "x", "", "\u00fc", "\\", '\\"', "\\u00e9", "\\u12", "{", "}", "[", "]", ":", "-", "0", "1e5", "null", "true", "NaN", '"a":1,', "\x01", " \n "])
+    return "".join(s)
+
+
+def test_mutated_json(spark):
+    r = random.Random(7)
+    check(spark, [(i, 0, i, "json", broken(r)) for i in range(6000)])
+
+
+def test_json_values(spark):
+    j = JSON
+    lines = [
+        j, j + " ,", j.replace('"note"', '"n\\u006fte"'), j.replace('"args"', '"\\u0061rgs"'), j.replace("[]", "[" * 80 + "]" * 80), j.replace('"2"', '"' + "9" * 20 + '"'), j.replace("3", '"-12"'), j.replace("1.5", "1e400"),
+        j.replace("1.5", "1e400").replace('"note"', '"n\\u006fte"'), j.replace("1.5", "-0.0"), j.replace('"ts":5', '"ts":' + "9" * 18), j.replace('"ts":5', '"ts":' + "9" * 19), j.replace('"dur":1.5', '"dur":5,"dur":2'), "[" * 90, '{"a":' * 90 + "1" + "}" * 90,
+        j.replace('"c"', "5"), j.replace(',"dur":1.5', ""), j[:-3],
+    ]
+    rows = [(i, 0, i, "json", t) for i, t in enumerate(lines)]
+    check(spark, rows)
+    out = {x.line_id: x for x in rawlines.load_lines(spark.createDataFrame(rows, "line_id long, file_id long, line_no int, fmt string, line string")).collect()}
+    for i in (0, 1, 2, 3, 4):
+        x = out[i]
+        assert (x.reason, x.func_name, x.cat, x.ph, x.pid, x.time_start, x.time_end, x.duration, x.size, x.epoch, x.hhash, x.fhash, x.note) == (None, "r", "c", "X", 1, 5, 6, 1.5, 3, 2, "ab", None, "\u00e9\t"), i
+    assert (out[5].epoch, out[6].size, out[7].duration, out[8].duration, out[9].duration, out[12].duration) == (None, None, None, None, 0.0, 2.0)
+    assert out[10].time_end == 10**18 and out[11].time_start is None
+    assert (out[15].error_field, out[15].error_offset) == ("cat", j.index('"cat"')) and (out[16].error_field, out[16].error_offset) == ("dur", len(lines[16].encode()))
+    assert out[17].error_offset == len(lines[17].encode()) and out[13].error_offset == 0
+
+
+def test_chunk_size_does_not_matter_for_json():
+    import pyarrow as pa
+
+    r = random.Random(9)
+    lines = pa.array([broken(r).strip(rawlines.EDGE) for _ in range(300)])
+    a, b = rawlines._json(lines, 5), rawlines._json(lines, 4096)
+    assert all(str(a[c]) == str(b[c]) for c in a)

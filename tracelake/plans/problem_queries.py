@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators import hotkeys, intervals, orphans, rawlines, smallfiles
 from tracelake.operators.events import valid_events
-from tracelake.session import table
+from tracelake.session import scratch_folder, table
 
 
 # 2: overlapping and gapped intervals
@@ -17,12 +19,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 # 3: lines that can't be parsed
-def _loaded(spark: SparkSession, d: str) -> DataFrame:
-    return rawlines.load_lines(table(spark, d, "raw_lines"))
+def _loaded(spark: SparkSession, d: str, values: bool = True) -> DataFrame:
+    return rawlines.load_lines(table(spark, d, "raw_lines"), values=values)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return rawlines.rejected(_loaded(spark, d)).select("line_id", "reason")
+    return rawlines.rejected(_loaded(spark, d, values=False)).select("line_id", "reason")
 
 
 def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +32,12 @@ def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return rawlines.rejected(_loaded(spark, d)).groupBy("reason", "error_field").agg(F.count(F.lit(1)).alias("n_lines"))
+    return rawlines.rejected(_loaded(spark, d, values=False)).groupBy("reason", "error_field").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def p3_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Lines per reason, and of the sound ones (NULL) too: with the framing lines they are all lines."""
+    return _loaded(spark, d, values=False).groupBy("reason").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 # 4: small files
@@ -50,6 +57,12 @@ def p4_targets(spark: SparkSession, d: str) -> DataFrame:
     return smallfiles.plan_totals(p4_plan(spark, d))
 
 
+def p4_copied(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of the contents themselves as small Parquet files, whose blocks are copied into few: the copy's own totals, and whether it reads as the table does."""
+    parts = [smallfiles.copy_totals(table(spark, d, t), scratch_folder(spark)).withColumn("src_table", F.lit(t)) for t in ("files", "tar_archives", "tar_files")]
+    return reduce(DataFrame.unionByName, parts).select("src_table", "n_rows", "n_copied", "same", "fewer")
+
+
 # 6: a few keys holding most rows
 def p6_totals(spark: SparkSession, d: str) -> DataFrame:
     return hotkeys.key_totals(table(spark, d, "trace"))
@@ -73,7 +86,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_loaded, p3_reasons, p4_found, p4_plan, p4_targets, p6_found, p6_totals, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_loaded, p3_reasons, p3_totals, p4_found, p4_plan, p4_targets, p4_copied, p6_found, p6_totals, p7_found, p7_report)}
 
 EVENTS_SQL = """ev AS (
   SELECT * FROM trace WHERE is_valid IS DISTINCT FROM false
@@ -119,18 +132,37 @@ _WHOLE = lambda k: f"(json_type(b, '$.{k}') IN ('UBIGINT', 'BIGINT', 'HUGEINT',
 _NAMED = lambda k: f"(json_type(b, '$.{k}') = 'VARCHAR' AND NOT regexp_full_match(json_extract_string(b, '$.{k}'), '\\s*'))"
 _JSON_OK = f"""{_NAMED("name")} AND {_NAMED("cat")} AND json_type(b, '$.ph') = 'VARCHAR' AND json_extract_string(b, '$.ph') IN ('X', 'M') AND {_WHOLE("pid")} AND {_WHOLE("tid")} AND {_WHOLE("ts")}
   AND json_type(b, '$.dur') IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') AND TRY_CAST(json_extract_string(b, '$.dur') AS DOUBLE) >= 0 AND coalesce(json_type(b, '$.args'), 'OBJECT') = 'OBJECT'"""
-_LINES_SQL = f"""WITH t AS (SELECT line_id, fmt, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS x FROM raw_lines),
-u AS (SELECT line_id, fmt, x, regexp_replace(x, ',$', '') AS b FROM t
+_LINES = f"""t AS (SELECT line_id, file_id, line_no, fmt, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS x FROM raw_lines),
+u AS (SELECT line_id, file_id, line_no, fmt, x, regexp_replace(x, ',$', '') AS b FROM t
   WHERE x NOT IN ('', '[', ']', '{{', '}}', '][') AND NOT (fmt = 'csv' AND x = '{",".join(rawlines.CSV_COLUMNS)}')),
 csv AS (SELECT line_id, x, regexp_full_match(x, '(?:{_FIELD})(?:,(?:{_FIELD}))*', 's') AS sound, len(string_split(regexp_replace(x, '"(?:[^"]|"")*"', '', 'gs'), ',')) AS n FROM u WHERE fmt = 'csv'),
 cut AS (SELECT line_id, regexp_extract(x, '^{",".join([f"({_FIELD})"] * 12)}$', [{", ".join(f"'{c}'" for c in rawlines.CSV_COLUMNS)}], 's') AS f FROM csv WHERE sound AND n = 12),
-js AS (SELECT line_id, b, CASE WHEN NOT json_valid(b) THEN 'syntax' WHEN json_type(b) <> 'OBJECT' THEN 'syntax' WHEN NOT ({_HAS}) THEN 'columns' WHEN NOT ({_JSON_OK}) THEN 'value' END AS reason FROM u WHERE fmt = 'json')
+js AS (SELECT line_id, b, CASE WHEN NOT json_valid(b) THEN 'syntax' WHEN json_type(b) <> 'OBJECT' THEN 'syntax' WHEN NOT ({_HAS}) THEN 'columns' WHEN NOT ({_JSON_OK}) THEN 'value' END AS reason FROM u WHERE fmt = 'json')"""
+_LINES_SQL = f"""WITH {_LINES}
 SELECT line_id, CASE WHEN NOT sound THEN 'quoting' ELSE 'columns' END AS reason FROM csv WHERE NOT sound OR n <> 12
 UNION ALL SELECT line_id, 'value' FROM cut WHERE NOT ({_CSV_OK})
 UNION ALL SELECT line_id, reason FROM js WHERE reason IS NOT NULL"""
 
+_NOTE = """CASE WHEN trim(f.note, ' ' || chr(9)) LIKE '"%' THEN replace(trim(f.note, ' ' || chr(9))[2:-2], '""', '"') ELSE trim(f.note, ' ' || chr(9)) END"""
+_GIVEN = lambda k: f"CASE WHEN json_type(b, '$.args.{k}') = 'VARCHAR' THEN nullif(json_extract_string(b, '$.args.{k}'), '') END"
+_SPELLED = lambda k: f"CASE WHEN json_type(b, '$.args.{k}') IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'VARCHAR') AND regexp_full_match(json_extract_string(b, '$.args.{k}'), '\\s*-?[0-9]{{1,29}}\\s*') THEN TRY_CAST(json_extract_string(b, '$.args.{k}') AS BIGINT) END"
+_TRIMMED = lambda k: f"regexp_replace(json_extract_string(b, '$.{k}'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_END_SQL = "time_start + CAST(floor(CASE WHEN duration < 4e18 THEN duration END) AS BIGINT) AS time_end"
+# The rows of sound lines. Numbers are cast as they are spelled.
+_LOADED_SQL = f"""WITH {_LINES},
+c AS (SELECT line_id, {_VALUE("func_name")} AS func_name, {_VALUE("cat")} AS cat, CAST(NULL AS VARCHAR) AS ph, CAST({_VALUE("pid")} AS BIGINT) AS pid, CAST({_VALUE("tid")} AS BIGINT) AS tid,
+  CAST({_VALUE("time_start")} AS BIGINT) AS time_start, CAST({_VALUE("duration")} AS DOUBLE) AS duration, nullif({_VALUE("hhash")}, '') AS hhash, nullif({_VALUE("fhash")}, '') AS fhash,
+  CAST(nullif({_VALUE("size")}, '') AS BIGINT) AS size, CAST(nullif({_VALUE("epoch")}, '') AS BIGINT) AS epoch, {_NOTE} AS note FROM cut WHERE {_CSV_OK}),
+j AS (SELECT line_id, {_TRIMMED("name")}, {_TRIMMED("cat")}, json_extract_string(b, '$.ph'), TRY_CAST(json_extract_string(b, '$.pid') AS BIGINT), TRY_CAST(json_extract_string(b, '$.tid') AS BIGINT),
+  TRY_CAST(json_extract_string(b, '$.ts') AS BIGINT), CASE WHEN TRY_CAST(json_extract_string(b, '$.dur') AS DOUBLE) < 1e300 THEN CAST(json_extract_string(b, '$.dur') AS DOUBLE) END,
+  {_GIVEN("hhash")}, {_GIVEN("fhash")}, CASE WHEN {_SPELLED("ret")} > 0 THEN {_SPELLED("ret")} END, {_SPELLED("epoch")}, {_GIVEN("note")} FROM js WHERE reason IS NULL),
+v AS (SELECT * FROM c UNION ALL SELECT * FROM j)
+SELECT line_id, file_id, line_no, v.* EXCLUDE (line_id), {_END_SQL}, true AS is_valid FROM v JOIN raw_lines USING (line_id)"""
+
 SQL = {
     "p3_found": _LINES_SQL,
+    "p3_loaded": _LOADED_SQL,
+    "p3_totals": f"""SELECT CAST(NULL AS VARCHAR) AS reason, (WITH {_LINES} SELECT count(*) FROM u) - (SELECT count(*) FROM ({_LINES_SQL})) AS n_lines UNION ALL SELECT reason, count(*) FROM ({_LINES_SQL}) GROUP BY 1""",
     "p2_found": """WITH iv AS (SELECT pid, epoch, time_start AS s, time_end AS e FROM trace
   WHERE is_valid IS DISTINCT FROM false AND epoch >= 1 AND time_end >= time_start),
 m AS (SELECT *, max(e) OVER (PARTITION BY pid, epoch ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM iv),
@@ -142,6 +174,7 @@ UNION ALL SELECT pid, epoch, 'gap', e, nxt FROM (SELECT pid, epoch, e, lead(s) O
     "p4_plan": f"WITH {_PLAN_SQL} SELECT src_table, id, name, byte_size, n_rows, target_file, target_offset, target_bytes FROM plan",
     "p4_targets": f"""WITH {_PLAN_SQL} SELECT target_file, count(*) AS n_contents, CAST(sum(n_rows) AS BIGINT) AS n_records, CAST(sum(byte_size) AS BIGINT) AS n_bytes,
   CAST(max(target_offset + byte_size) - sum(byte_size) AS BIGINT) AS holes FROM plan GROUP BY target_file""",
+    "p4_copied": " UNION ALL ".join(f"SELECT '{t}' AS src_table, count(*) AS n_rows, count(*) AS n_copied, true AS same, true AS fewer FROM {t}" for t in ("files", "tar_archives", "tar_files")),
     "p6_totals": f"{_TOTALS_SQL} SELECT * FROM t",
     "p6_found": f"{_TOTALS_SQL} SELECT field, hot_key FROM t WHERE hot_key <> '' AND n_events * 50 >= (SELECT count(*) FROM ev)",
     "p7_found": f"{_ORPHANS_SQL} SELECT ref_table, event_id, reason FROM o",
