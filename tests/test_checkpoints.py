@@ -17,5 +17,21 @@ def test_checkpoint_of_every_line(spark):
     for file, at in lines:
         offset, idx = max((o, i) for i, o in starts[file].items() if o <= at)
         truth.append((file, at, idx, offset))
-    got = [(x.file, x.target, x.checkpoint_idx, x.uc_offset) for x in core_queries.QUERIES["checkpoint_asof_all"](spark, SF).collect()]
+    got = [(x.file, x.target, x.checkpoint_idx, x.uc_offset) for x in core_queries.QUERIES["checkpoint_asof"](spark, SF).collect()]
     assert max(len(x) for x in starts.values()) > 1 and sorted(got) == sorted(truth)
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    from tracelake.session import checkpoint_folder, cut, scratch, scratch_folder
+
+    before = checkpoint_folder(spark)
+    with scratch(spark):
+        assert cut(spark.range(100)).count() == 100
+        folder = scratch_folder(spark)
+        spark.range(5).write.parquet(folder)
+        inner = checkpoint_folder(spark).removeprefix("file:")
+        assert inner != before.removeprefix("file:") and os.path.isdir(inner) and os.path.isdir(folder.removeprefix("file:"))
+    assert not os.path.exists(inner)
+    assert cut(spark.range(3)).count() == 3

@@ -215,3 +215,86 @@ def test_stream(spark, folder, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(count) from wm").first()[0] == 900
+
+
+def test_line_processors(spark, folder):
+    d, texts = folder
+    n = text.numbered_lines(spark, str(d))
+
+    class Stops(text.LineProcessor):
+        def begin(self, file):
+            super().begin(file)
+            self.file, self.seen = os.path.basename(file), 0
+
+        def process(self, line_no, line):
+            self.seen += 1
+            self.rows.append((self.file, line_no, len(line.encode())))
+            return self.seen < 7
+
+    got = text.process_lines(text.read_lines(n, 3, 100), Stops, "file string, line_no long, size int").collect()
+    want = [(name, i, len(expected(t)[i - 1].encode())) for name, t in texts.items() for i in range(3, 10)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert text.process_lines(text.read_lines(n, 10**6, 10**6), Stops, "file string, line_no long, size int").count() == 0
+    silent = text.process_lines(text.read_lines(n, 1, 5), text.LineProcessor, "x long")  # gives nothing, and None goes on
+    assert silent.count() == 0 and silent.columns == ["x"]
+    with pytest.raises(ValueError):
+        text.read_lines(n, 1, 10**6, strict=True)
+    assert text.read_lines(n, 1, 2, strict=True).count() == 6
+
+
+def test_gzip_files_and_sizes(spark, folder, tmp_path):
+    d, texts = folder
+    done = {os.path.basename(r.path): r for r in sinks.gzip_files(spark.createDataFrame([(str(d / x),) for x in texts], "path string"), str(tmp_path / "z")).collect()}
+    for name, r in done.items():
+        assert gzip.decompress(open(r.target, "rb").read()) == (d / name).read_bytes() and r.original_bytes == (d / name).stat().st_size and r.compressed_bytes == os.path.getsize(r.target)
+    two = d / "c.pfw.gz"
+    (tmp_path / "tiny.gz").write_bytes(b"short")
+    sizes = {os.path.basename(r.path): r for r in archive.gzip_sizes(spark.createDataFrame([(str(two),), (done["a.pfw"].target,), (str(tmp_path / "tiny.gz"),)], "path string"), block=100).collect()}
+    assert (sizes["c.pfw.gz"].members, sizes["a.pfw.gz"].members, sizes["a.pfw.gz"].trailer, sizes["tiny.gz"].members, sizes["tiny.gz"].trailer) == (2, 1, len(texts["a.pfw"].encode()), 0, None)
+    assert sizes["c.pfw.gz"].trailer < len(texts["c.pfw.gz"].encode())
+    assert sinks.compression_summary(spark.createDataFrame([], "path string, target string, original_bytes long, compressed_bytes long")).first().ratio == 0.0
+    with pytest.raises(ValueError):
+        sinks.gzip_files(spark.createDataFrame([("/x/a",), ("/y/a",)], "path string"), str(tmp_path / "q"))
+
+
+def test_bytes_of_archives(tmp_path):
+    import tarfile
+
+    parts = {"a": b"0123456789", "empty": b"", "d/b": b"x" * 3000, "a2": b"tail"}
+    with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as t:
+        for name, data in parts.items():
+            (tmp_path / "m").write_bytes(data)
+            t.add(tmp_path / "m", name)
+    path, whole = str(tmp_path / "t.tar.gz"), b"".join(parts.values())
+    for a, z in ((0, 1), (5, 15), (9, 10), (0, len(whole)), (3008, 3014)):
+        assert archive.read_bytes(path, a, z, block=7) == whole[a:z]
+    assert archive.read_bytes(path, 1, 3, name="a2") == b"ai"
+    for a, z, name in ((0, len(whole) + 1, None), (5, 5, None), (0, 1, "nope"), (0, 5, "a2")):
+        with pytest.raises(ValueError):
+            archive.read_bytes(path, a, z, name)
+
+
+def test_stored_index(spark, folder, tmp_path):
+    import shutil
+
+    d, texts = folder
+    src = tmp_path / "src"
+    shutil.copytree(d, src)
+    store = index.IndexStore(spark, str(tmp_path / "i"), 4096)
+    assert store.files().count() == 0 and store.stale(str(src)).count() == 3
+    assert store.build(str(src)) == 3 and store.stale(str(src)).count() == 0 == store.build(str(src))
+    assert {os.path.basename(r.file): r.total_lines for r in store.files().collect()} == {k: len(expected(t)) for k, t in texts.items()}
+    before = store.checkpoints().count()
+    (src / "a.pfw").write_text("[\nx\n]\n")
+    (src / "empty.pfw").write_text("")
+    os.remove(src / "b.pfw")
+    assert store.build(str(src)) == 1  # empty files have nothing to index
+    assert {os.path.basename(r.file): r.total_lines for r in store.files().collect()} == {"a.pfw": 3, "c.pfw.gz": len(expected(texts["c.pfw.gz"]))} and store.checkpoints().count() < before
+    assert store.build(str(src)) == 0 and store.build(str(src), contents=True) == 0
+    os.utime(src / "a.pfw", (1, 1))
+    assert [os.path.basename(r.file) for r in store.stale(str(src)).collect()] == ["a.pfw"]
+    os.makedirs(tmp_path / "i" / "files" / "v=77")  # a build that was interrupted
+    assert store.files().count() == 2 and store.build(str(src), force=True) == 2
+    spark.range(3).write.parquet(str(tmp_path / "other" / "files" / "v=0"))
+    with pytest.raises(ValueError):
+        index.IndexStore(spark, str(tmp_path / "other")).files()

@@ -2,12 +2,12 @@
 
 import pytest
 
-from tracelake.plans import core_queries, problem_queries
+from tracelake.plans import core_queries, file_queries, problem_queries
 from tracelake.plans.parity import differences
 
 SF = "/root/testdata/sf0.001"
-ALL = {**core_queries.QUERIES, **problem_queries.QUERIES}
-TEXT = {**core_queries.SQL, **problem_queries.SQL}
+ALL = {**core_queries.QUERIES, **file_queries.QUERIES, **problem_queries.QUERIES}
+TEXT = {**core_queries.SQL, **file_queries.SQL, **problem_queries.SQL}
 
 
 @pytest.mark.parametrize("name", ALL)

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from tracelake.functions import scalar as S
 from tracelake.operators import chunking, replay
 from tracelake.operators import trace as T
+from tracelake.operators.index import IndexStore
+from tracelake.operators.smallfiles import list_files
 from tracelake.plans.viewcache import cached_view, view_name
-from tracelake.session import build_session, ship
+from tracelake.session import build_session, cut, scratch, ship
 from tracelake.sources import archive, sinks, text
 
 
@@ -27,10 +29,15 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("file")
     r.add_argument("-s", "--start", type=int, default=-1)
     r.add_argument("-e", "--end", type=int, default=-1)
+    r.add_argument("--check", action="store_true", help="only say whether the file's index has to be built again (exit code 1: yes)")
+    r.add_argument("--index", help="folder of the index, for --check and --build")
+    r.add_argument("--build", action="store_true", help="build the index where it is out of date")
     r.add_argument("--mode", choices=["bytes", "line_bytes", "lines"], default="bytes")
     t = sub.add_parser("tar", help="members and totals of tar archives")
     t.add_argument("files", nargs="+")
     t.add_argument("--list-files", action="store_true")
+    t.add_argument("--info", action="store_true", help="format, sizes and members of each archive")
+    t.add_argument("--member", help="print the lines of the members of this name")
     m = sub.add_parser("map", help="high-level metrics")
     m.add_argument("files", nargs="+")
     m.add_argument("-v", "--view-types", default="proc_name,file_name")
@@ -59,6 +66,8 @@ def parser() -> argparse.ArgumentParser:
     y.add_argument("inputs", nargs="+")
     y.add_argument("--sleep-mode", dest="sleep_mode", action="store_true")
     y.add_argument("--no-sleep", action="store_true")
+    y.add_argument("--no-timing", action="store_true", help="plan no waits between events")
+    y.add_argument("--timing-scale", type=float, default=1.0)
     y.add_argument("--dry-run", action="store_true")
     y.add_argument("--functions", default="")
     y.add_argument("--exclude", default="")
@@ -82,12 +91,30 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     a = parser().parse_args(argv)
     spark = spark or build_session(a.master, f"tracelake {a.command}")
     ship(spark)
+    with scratch(spark):
+        return _run(a, spark)
+
+
+def _run(a: argparse.Namespace, spark: SparkSession) -> int:
     if a.command == "reader":
-        if a.mode == "bytes" and archive.detect_format(a.file) != archive.TAR_GZ:
+        if a.check or a.build:
+            if not a.index:
+                print("--check and --build need --index", file=sys.stderr)
+                return 1
+            store = IndexStore(spark, a.index)
+            if a.build:
+                print(store.build(a.file, "*"))
+                return 0
+            stale = not store.stale(a.file, "*").isEmpty()
+            print("rebuild" if stale else "valid")
+            return int(stale)
+        if a.mode == "bytes":
             if a.end < 0:
                 print("bytes need --start and --end", file=sys.stderr)
                 return 1
-            sys.stdout.write(text.read_bytes(spark, a.file, max(0, a.start), a.end).decode("utf-8", "replace"))
+            tar = archive.detect_format(a.file) == archive.TAR_GZ
+            data = archive.read_bytes(a.file, max(0, a.start), a.end) if tar else text.read_bytes(spark, a.file, max(0, a.start), a.end)
+            sys.stdout.write(data.decode("utf-8", "replace"))
             return 0
         n = _numbered(spark, a.file)
         if a.mode == "lines":
@@ -98,7 +125,14 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             print(row[0])
     elif a.command == "tar":
         members = archive.tar_members(spark, a.files)
+        if a.member:
+            for row in archive.member_lines(spark, a.files, a.member).orderBy("archive", "uncompressed_offset", "member_line").select("value").toLocalIterator():
+                print(row[0])
+            return 0
         totals = members.groupBy("archive").agg(F.count(F.lit(1)).alias("members"), F.sum("file_size").alias("bytes"))
+        if a.info:
+            sizes = archive.gzip_sizes(spark.createDataFrame([(p,) for p in a.files], "path string")).select(F.col("path").alias("archive"), "compressed")
+            totals = totals.join(sizes, "archive").withColumn("format", F.lit(archive.TAR_GZ))
         _show(archive.logical_offsets(members).orderBy("archive", "uncompressed_offset") if a.list_files else totals)
     elif a.command == "map":
         if a.checkpoint and not a.checkpoint_dir:
@@ -116,7 +150,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         _show(counts.orderBy("file"))
         print(counts.agg(F.coalesce(F.sum("n_events"), F.lit(0))).first()[0])
     elif a.command == "pgzip":
-        sinks.write_lines(text.scan_lines(spark, a.directory, pattern="*.pfw"), a.output, compress=True)
+        done = cut(sinks.gzip_files(list_files(spark, a.directory, "*.pfw"), a.output))
+        _show(done.orderBy("path"))
+        _show(sinks.compression_summary(done))
     elif a.command == "merge":
         print(sinks.merge_traces(text.numbered_lines(spark, a.directory), a.output, a.compress, a.force, a.array))
     elif a.command == "split":
@@ -126,7 +162,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     else:
         names = lambda x: tuple(v for v in x.split(",") if v)
         events = T.parse_trace(text.scan_lines(spark, a.inputs, pattern=""), mode="replay")
-        plan = replay.replay_plan(events, a.sleep_mode and not a.no_sleep, a.dry_run, functions=names(a.functions), without=names(a.exclude), categories=names(a.categories))
+        config = replay.ReplayConfig(not a.no_timing, a.timing_scale, dry_run=a.dry_run, sleep_mode=a.sleep_mode and not a.no_sleep, functions=names(a.functions), without=names(a.exclude), categories=names(a.categories))
+        plan = replay.configured_plan(events, config)
         stats = replay.replay_statistics(plan).cache()
         _show(stats.withColumn("rate", S.percent(F.col("executed"), F.col("total"))).orderBy("dimension", "name"))
         status = replay.replay_status(stats).first()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,12 +44,12 @@ def size_bins(size: Column) -> dict[str, Column]:
     return out
 
 
-def size_label(size: Column) -> Column:
-    """The size's bin as a reader's label; NULL without a size."""
+def size_label(size: Column, labels: Sequence[str] = V.BIN_LABELS) -> Column:
+    """The size's bin as a reader's label (V.BIN_LABELS: from and to; V.BIN_NAMES: one bound); NULL without a size."""
     c = F.when(size < 0, F.lit(None).cast("string"))
-    for bound, label in zip(V.BIN_BOUNDS[1:], V.BIN_LABELS):
+    for bound, label in zip(V.BIN_BOUNDS[1:], labels):
         c = c.when(size < bound, label)
-    return c.when(size.isNotNull(), V.BIN_LABELS[-1])
+    return c.when(size.isNotNull(), labels[-1])
 
 
 def known_size(cat: Column, func: Column, ret: Column) -> Column:
@@ -92,16 +93,63 @@ def base_name(path: Column) -> Column:
 
 
 def logical_views(file_name: Column, proc_name: Column) -> dict[str, Column]:
-    """Views that follow from a file's or a process's name."""
+    """Views that follow from a file's or a process's name (V.LOGICAL_VIEWS).
+
+    A process's name has four parts: application, host, process and thread. Its node is its host without the domain;
+    it holds no rank, which is NULL.
+    """
     part = lambda i: F.get(F.split(proc_name, "#"), F.lit(i))
-    return {
+    made = {
         "file_dir": F.when(file_name.contains("/"), F.regexp_replace(file_name, r"/[^/]*$", "")).otherwise(F.lit("")),
         "file_pattern": F.regexp_replace(file_name, "[0-9]+", "[0-9]"),
         "app_name": part(0),
         "host_name": part(1),
+        "node_name": F.substring_index(part(1), ".", 1),
         "proc_id": part(2),
+        "rank": F.lit(None).cast("string"),
         "thread_id": part(3),
     }
+    return {v: made[v] for views in V.LOGICAL_VIEWS.values() for v in views}
+
+
+def _looked_up(value: Column, labels: Mapping[str, str]) -> Column:
+    pairs = [F.lit(x) for pair in labels.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), value), value)
+
+
+def metric_label(name: Column) -> Column:
+    """A metric's name for readers; others stay."""
+    return _looked_up(name, V.METRIC_LABELS)
+
+
+def view_label(name: Column) -> Column:
+    """A view's name for readers; others stay."""
+    return _looked_up(name, V.VIEW_LABELS)
+
+
+def io_type(func: Column) -> Column:
+    """read, write or metadata; NULL for other functions."""
+    code = io_category_code(func)
+    c = F.lit(None).cast("string")
+    for t in V.IO_TYPES:
+        c = F.when(code == V.IO_CODES[t.upper()], t).otherwise(c)
+    return c
+
+
+def compact_io_type(kind: Column) -> Column:
+    """The letter of an `io_type`."""
+    c = F.lit(None).cast("string")
+    for t, letter in zip(V.IO_TYPES, V.COMPACT_IO_TYPES):
+        c = F.when(kind == t, letter).otherwise(c)
+    return c
+
+
+def metadata_operation(func: Column) -> Column:
+    """What a metadata function does: the first of close, open, seek and stat that its name contains; else NULL."""
+    c = F.lit(None).cast("string")
+    for x in reversed(V.DERIVED_METADATA_OPERATIONS):
+        c = F.when(func.contains(x), x).otherwise(c)
+    return F.when(func.isin(V.METADATA), c)
 
 
 def is_epoch_event(cat: Column, func: Column) -> Column:

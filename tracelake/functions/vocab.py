@@ -63,7 +63,7 @@ VIEW_LABELS = {
     "app_name": "App", "file_dir": "File Directory", "file_name": "File", "file_pattern": "File Pattern", "node_name": "Node", "proc_name": "Process", "rank": "Rank", "time_range": "Time Period",
 }
 VIEWS = ["file_name", "proc_name", "time_range"]
-LOGICAL_VIEWS = {"file_name": ["file_dir", "file_pattern"], "proc_name": ["app_name", "host_name", "proc_id", "thread_id"]}
+LOGICAL_VIEWS = {"file_name": ["file_dir", "file_pattern"], "proc_name": ["app_name", "host_name", "node_name", "proc_id", "rank", "thread_id"]}
 IO_TYPES, COMPACT_IO_TYPES = ["read", "write", "metadata"], ["R", "W", "M"]
 DERIVED_METADATA_OPERATIONS, ACCESS_PATTERNS = ["close", "open", "seek", "stat"], {"SEQUENTIAL": 0, "RANDOM": 1}
 EXTRA_KEYS = ["cat", "io_cat", "acc_pat", "func_name"]

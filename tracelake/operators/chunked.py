@@ -18,14 +18,26 @@ from pyspark.sql import types as T
 
 from tracelake.session import cut, ship, shuffle_partitions
 
+CHUNK_BYTES, MAX_CHUNKS = 128 << 20, 100_000
+
 
 def range_chunks(df: DataFrame, keys: Sequence[str | Column], n: int | None = None) -> DataFrame:
     """`df` range-partitioned and sorted by `keys`; equal keys share a chunk. Chunks are Spark's partitions in order.
 
-    The number is given, so adaptive execution neither joins nor splits chunks: partition ids are chunk numbers.
+    The number is given, so adaptive execution neither joins nor splits chunks: partition ids are chunk numbers. It
+    follows from the input's size as the optimizer estimates it (CHUNK_BYTES a chunk), and is at least the session's
+    number of shuffle partitions.
     """
     ship(df.sparkSession)
-    return df.repartitionByRange(n or shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    return df.repartitionByRange(n or chunks_for(df), *keys).sortWithinPartitions(*keys)
+
+
+def chunks_for(df: DataFrame) -> int:
+    """A chunk for each CHUNK_BYTES of the input, where the optimizer can tell its size: not after a checkpoint or a join."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(plan.stats().sizeInBytes())
+    known = 0 if size >= 1 << 60 or "Join" in plan.toString() else size
+    return min(MAX_CHUNKS, max(shuffle_partitions(df.sparkSession), -(-known // CHUNK_BYTES)))
 
 
 def running(df: DataFrame, group: Sequence[str], order: Sequence[str], values: Mapping[str, tuple[str, str]]) -> DataFrame:

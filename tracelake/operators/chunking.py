@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.session import is_small
+
 FULL = 0.95
 MAX_FILES = 2_000_000
 BROADCAST_ROWS = 500_000
@@ -75,7 +77,7 @@ def plan_for(metadata: DataFrame, target_mb: float, max_files: int = MAX_FILES)
 
 def tag_lines(numbered: DataFrame, plan: DataFrame, keep: Sequence[str] = ("value",)) -> DataFrame:
     """chunk, file, line_no and `keep` of every planned line. Small plans are broadcast, larger ones joined by file."""
-    small = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = is_small(plan.select("file", "chunk", "start_line", "end_line"), BROADCAST_ROWS)
     p = plan.select("chunk", "file", "start_line", "end_line")
     joined = numbered.select("file", "line_no", *keep).join(F.broadcast(p) if small else p, "file").filter(F.col("line_no").between(F.col("start_line"), F.col("end_line")))
     return joined.select("chunk", "file", "line_no", *keep)

@@ -3,16 +3,51 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalar as S
 from tracelake.functions import vocab as V
+from tracelake.operators.trace import BROADCAST_ROWS
+from tracelake.session import is_small
 
 LONGEST_SLEEP_US, LONGEST_OPERATION_US = 10_000_000, 1_000
 
 
+@dataclass(frozen=True)
+class ReplayConfig:
+    """What a replay is asked for. Nothing is executed here, so max_file_size and output_directory only say what an executor may write, and where."""
+
+    maintain_timing: bool = True
+    timing_scale: float = 1.0
+    start_time_offset: int = 0
+    dry_run: bool = False
+    sleep_mode: bool = False
+    functions: Sequence[str] = field(default_factory=tuple)
+    without: Sequence[str] = field(default_factory=tuple)
+    categories: Sequence[str] = field(default_factory=tuple)
+    max_file_size: int = 100 << 20
+    output_directory: str = ""
+
+    def __post_init__(self) -> None:
+        if self.timing_scale <= 0 or self.max_file_size < 0:
+            raise ValueError("the timing scale must be above 0 and the largest file not below")
+
+
+def configured_plan(events: DataFrame, config: ReplayConfig, file: str = "file", order: str = "time_start") -> DataFrame:
+    """`replay_plan` by a config, with longest_wait_us: how long each event waits at most for its time since its file's first event; 0 without timing.
+
+    start_time_offset (microseconds) is added to every start first; it moves a file as a whole, so it changes no wait.
+    """
+    moved = events.withColumn("time_start", F.col("time_start") + F.lit(int(config.start_time_offset)))
+    plan = replay_plan(moved, config.sleep_mode, config.dry_run, functions=config.functions, without=config.without, categories=config.categories)
+    if not config.maintain_timing:
+        return plan.withColumn("longest_wait_us", F.lit(0).cast("long"))
+    return planned_elapsed(plan, file, order, config.timing_scale).drop("elapsed_us")
+
+
 def would_run(functions: Sequence[str] = (), without: Sequence[str] = (), categories: Sequence[str] = ()) -> Column:
     """Function whitelist, function blacklist, category whitelist, regular events; an empty list doesn't filter."""
     ok = F.col("type") == V.REGULAR
@@ -54,9 +89,11 @@ def replay_status(statistics: DataFrame) -> DataFrame:
 def planned_elapsed(events: DataFrame, file: str, order: str, scale: float = 1.0) -> DataFrame:
     """`events` with elapsed_us since their file's first event (by `order`), scaled, and that capped at ten seconds.
 
-    The first events are one row per file, found by an aggregate and joined: no file is sorted in one task.
+    The first events are one row per file, found by an aggregate and joined: no file is sorted in one task. They are
+    broadcast where they are few, so a file with a third of all events isn't shuffled; else adaptive execution
+    splits it.
     """
     first = events.groupBy(file).agg(F.min_by("time_start", order).alias("_tl_first"))
-    rows = events.drop("elapsed_us", "longest_wait_us").join(first, file)
+    rows = events.drop("elapsed_us", "longest_wait_us").join(F.broadcast(first) if is_small(first, BROADCAST_ROWS) else first, file)
     elapsed = ((F.col("time_start") - F.col("_tl_first")) * F.lit(float(scale))).cast("long")
     return rows.withColumn("elapsed_us", elapsed).withColumn("longest_wait_us", F.least(F.greatest(F.col("elapsed_us"), F.lit(0)), F.lit(LONGEST_SLEEP_US)).cast("long")).drop("_tl_first")

@@ -87,7 +87,7 @@ def classify(events: DataFrame) -> DataFrame:
             "size": size,
             "offset": F.when(io, F.col("offset")),
             "image_id": F.when(~io, F.col("image_id")),
-            "acc_pat": F.lit("0"),
+            "acc_pat": F.lit(str(V.ACCESS_PATTERNS["SEQUENTIAL"])),
         }
     ).drop("ret")
     return out.withColumns(S.size_bins(F.col("size")))

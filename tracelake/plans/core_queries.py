@@ -66,6 +66,24 @@ def size_labels(spark, d):
     return table(spark, d, "trace").select("event_id", S.size_label(F.col("size")).alias("size_label"))
 
 
+_NAME_CASE = " ".join(f"WHEN size < {b} THEN '{x}'" for b, x in zip(V.BIN_BOUNDS[1:], V.BIN_NAMES))
+
+
+@query(f"SELECT event_id, CASE WHEN size < 0 THEN NULL {_NAME_CASE} WHEN size IS NOT NULL THEN '{V.BIN_NAMES[-1]}' END AS size_name FROM trace")
+def size_names(spark, d):
+    return table(spark, d, "trace").select("event_id", S.size_label(F.col("size"), V.BIN_NAMES).alias("size_name"))
+
+
+_KIND = f"CASE {W.code_sql()} WHEN 1 THEN 'read' WHEN 2 THEN 'write' WHEN 3 THEN 'metadata' END"
+_OPERATION = " ".join(f"WHEN contains(func_name, '{x}') THEN '{x}'" for x in V.DERIVED_METADATA_OPERATIONS)
+
+
+@query(f"SELECT event_id, {_KIND} AS io_type, upper(left({_KIND}, 1)) AS io_letter, CASE WHEN func_name IN ({W.names(V.METADATA)}) THEN CASE {_OPERATION} END END AS operation FROM trace")
+def io_types(spark, d):
+    kind = S.io_type(F.col("func_name"))
+    return table(spark, d, "trace").select("event_id", kind.alias("io_type"), S.compact_io_type(kind).alias("io_letter"), S.metadata_operation(F.col("func_name")).alias("operation"))
+
+
 @query("SELECT event_id, lower(cat) AS cat FROM trace")
 def lower_category(spark, d):
     return table(spark, d, "trace").select("event_id", F.lower("cat").alias("cat"))
@@ -91,13 +109,39 @@ _DIR = "CASE WHEN contains(file_name, '/') THEN regexp_replace(file_name, '/[^/]
 
 @query(
     f"""WITH {_T} SELECT event_id, {_DIR} AS file_dir, regexp_replace(file_name, '[0-9]+', '[0-9]', 'g') AS file_pattern, split_part(proc_name, '#', 1) AS app_name,
-split_part(proc_name, '#', 2) AS host_name, split_part(proc_name, '#', 3) AS proc_id, split_part(proc_name, '#', 4) AS thread_id FROM named"""
+split_part(proc_name, '#', 2) AS host_name, split_part(split_part(proc_name, '#', 2), '.', 1) AS node_name, split_part(proc_name, '#', 3) AS proc_id, CAST(NULL AS VARCHAR) AS rank,
+split_part(proc_name, '#', 4) AS thread_id FROM named"""
 )
 def derived_views(spark, d):
     v = S.logical_views(F.col("file_name"), F.col("proc_name"))
     return W.named_events(spark, d).select("event_id", *[c.alias(k) for k, c in v.items()])
 
 
+_VIEWS = [*V.VIEWS, *(v for views in V.LOGICAL_VIEWS.values() for v in views)]
+
+
+@query(
+    f"""WITH {_T}, d AS (SELECT time_range, proc_name, file_name, {_DIR} AS file_dir, regexp_replace(file_name, '[0-9]+', '[0-9]', 'g') AS file_pattern, split_part(proc_name, '#', 1) AS app_name,
+split_part(proc_name, '#', 2) AS host_name, split_part(split_part(proc_name, '#', 2), '.', 1) AS node_name, split_part(proc_name, '#', 3) AS proc_id, CAST(NULL AS VARCHAR) AS rank,
+split_part(proc_name, '#', 4) AS thread_id FROM timed) """
+    + " UNION ALL ".join(f"SELECT '{V.VIEW_LABELS.get(v, v)}' AS view, count(DISTINCT {v}) AS n_values, '{V.METRIC_LABELS['time']}' AS metric FROM d" for v in _VIEWS)
+)
+def view_labels(spark, d):
+    """How many values each view has, under the names for readers."""
+    t = W.timed_events(spark, d)
+    made = t.select(*[c for c in V.VIEWS if c != "host_name"], *[c.alias(k) for k, c in S.logical_views(F.col("file_name"), F.col("proc_name")).items()])
+    pairs = ", ".join(f"'{v}', cast(`{v}` as string)" for v in _VIEWS)
+    rows = made.select(F.expr(f"stack({len(_VIEWS)}, {pairs}) as (view, value)")).distinct()
+    return rows.groupBy("view").agg(F.count("value").alias("n_values")).select(S.view_label(F.col("view")).alias("view"), "n_values", S.metric_label(F.lit("time")).alias("metric"))
+
+
+@query(
+    f"""WITH {_T}, h AS (SELECT * REPLACE (CAST({W.code_sql()} AS VARCHAR) AS io_cat) FROM timed) SELECT DISTINCT proc_name, cat, io_cat, acc_pat, func_name, file_name FROM h WHERE file_name IS NOT NULL"""
+)
+def hlm_unique_members(spark, d):
+    return T.unique_members(W.timed_events(spark, d), "file_name", "")
+
+
 @query("SELECT record_id, regexp_extract(file_name, '[^/]*$') AS base_name FROM file_hashes")
 def base_names(spark, d):
     return table(spark, d, "file_hashes").select("record_id", S.base_name(F.col("file_name")).alias("base_name"))
@@ -234,11 +278,16 @@ def hlm_epoch(spark, d):
 
 
 # Lines, ranges, chunks. A file's lines come numbered in raw_lines; offsets follow from their bytes.
-def _numbered(spark, d):
-    rows = table(spark, d, "raw_lines").select(F.col("file_id").alias("file"), F.col("line_no").cast("long").alias("line_no"), F.col("line").alias("value"))
-    ended = running(rows.withColumn("size", F.octet_length("value") + 1), ["file"], ["line_no"], {"end": ("size", "sum")})
+def _numbered(spark, d, texts=True):
+    """Lines with their offsets; without `texts` only their sizes go through the ordered chunks."""
+    rows = table(spark, d, "raw_lines").select(F.col("file_id").alias("file"), F.col("line_no").cast("long").alias("line_no"), *([F.col("line").alias("value")] if texts else []), (F.octet_length("line") + 1).alias("size"))
+    ended = running(rows, ["file"], ["line_no"], {"end": ("size", "sum")})
     newline = F.col("end") - 1
-    return ended.select("file", "line_no", "value", (newline - F.col("size") + 1).alias("begin"), newline.alias("newline"))
+    return ended.select("file", "line_no", *(["value"] if texts else []), (newline - F.col("size") + 1).alias("begin"), newline.alias("newline"))
+
+
+def _lines(spark, d):
+    return table(spark, d, "raw_lines").select(F.col("file_id").alias("file"), F.col("line_no").cast("long").alias("line_no"), F.col("line").alias("value"))
 
 
 _NUMBERED = """n AS (SELECT file_id AS file, CAST(line_no AS BIGINT) AS line_no, line AS value,
@@ -260,12 +309,12 @@ def file_metadata(spark, d):
 
 @query(f"WITH {_NUMBERED} SELECT file, line_no, \"begin\", newline FROM nb WHERE line_no BETWEEN 11 AND 60")
 def line_ranges(spark, d):
-    return text.read_lines(_numbered(spark, d), 11, 60).select("file", "line_no", "begin", "newline")
+    return text.read_lines(_numbered(spark, d, texts=False), 11, 60).select("file", "line_no", "begin", "newline")
 
 
 @query(f"WITH {_NUMBERED} SELECT file, line_no, newline // 4096 AS owner FROM nb")
 def byte_range_owner(spark, d):
-    return _numbered(spark, d).select("file", "line_no", F.call_function("div", F.col("newline"), F.lit(4096).cast("long")).alias("owner"))
+    return _numbered(spark, d, texts=False).select("file", "line_no", F.call_function("div", F.col("newline"), F.lit(4096).cast("long")).alias("owner"))
 
 
 @query(f"WITH {_NUMBERED} SELECT file, line_no, value FROM nb WHERE newline >= 4096 AND newline < 8192")
@@ -286,7 +335,7 @@ def chunk_plan(spark, d):
 
 @query()
 def split_lines(spark, d):
-    return chunking.tag_lines(_numbered(spark, d), chunk_plan(spark, d))
+    return chunking.tag_lines(_lines(spark, d), chunk_plan(spark, d))
 
 
 @query(
@@ -296,12 +345,12 @@ SELECT file, line_no, regexp_replace({_TRIM.replace('line', 'value')}, ',$', '')
 def merged_events(spark, d):
     from tracelake.sources.sinks import event_lines
 
-    return event_lines(_numbered(spark, d)).select("file", "line_no", "value")
+    return event_lines(_lines(spark, d))
 
 
 # Index
 def _checkpoints(spark, d):
-    return index.index_checkpoints(_numbered(spark, d), 8192)
+    return index.index_checkpoints(_numbered(spark, d, texts=False), 8192)
 
 
 _CP = f"""{_NUMBERED}, cp AS (SELECT file, "begin" // 8192 AS checkpoint_idx, min("begin") AS uc_offset, max(newline) + 1 - min("begin") AS uc_size, count(*) AS num_lines,
@@ -318,19 +367,23 @@ def index_totals(spark, d):
     return index.index_files(_numbered(spark, d)).drop("fingerprint")
 
 
-@query(
-    f"""WITH {_CP}, t AS (SELECT file, newline AS target FROM nb WHERE line_no % 7 = 3)
-SELECT file, target, arg_max(checkpoint_idx, uc_offset) AS checkpoint_idx, max(uc_offset) AS uc_offset FROM t JOIN cp USING (file) WHERE uc_offset <= target GROUP BY file, target"""
-)
-def checkpoint_asof(spark, d):
-    n = _numbered(spark, d)
-    return index.checkpoint_asof(_checkpoints(spark, d), n.filter("line_no % 7 = 3").select("file", F.col("newline").alias("target")))
+@query(f"WITH {_NUMBERED} SELECT file, true AS same, true AS differs FROM nb GROUP BY file")
+def index_fingerprints(spark, d):
+    """A file's fingerprint is the same from its lines in any order, and another once a line changes."""
+    n = _numbered(spark, d).select("file", "line_no", "value", "newline")
+    first = index.index_files(n).select("file", F.col("fingerprint").alias("a"))
+    again = index.index_files(n.orderBy(F.desc("newline"))).select("file", F.col("fingerprint").alias("b"))
+    other = index.index_files(n.withColumn("value", F.when(F.col("line_no") == 1, F.concat("value", F.lit("x"))).otherwise(F.col("value")))).select("file", F.col("fingerprint").alias("c"))
+    return first.join(again, "file").join(other, "file").select("file", (F.col("a") == F.col("b")).alias("same"), (F.col("a") != F.col("c")).alias("differs"))
 
 
-@query()
-def checkpoint_asof_all(spark, d):
-    """The checkpoint of every line; checkpoint_asof, like its SQL, looks up one line of seven."""
-    return index.checkpoint_asof(_checkpoints(spark, d), _numbered(spark, d).select("file", F.col("newline").alias("target")))
+_ASOF = f"""WITH {_CP} SELECT n.file, n.newline AS target, cp.checkpoint_idx, cp.uc_offset FROM nb n ASOF JOIN cp ON n.file = cp.file AND n.newline >= cp.uc_offset"""
+
+
+@query(_ASOF)
+def checkpoint_asof(spark, d):
+    """The checkpoint of every line."""
+    return index.checkpoint_asof(_checkpoints(spark, d), _numbered(spark, d, texts=False).select("file", F.col("newline").alias("target")))
 
 
 @query(f"WITH {_CP} SELECT file, checkpoint_idx FROM cp WHERE first_line <= 90 AND last_line >= 40")

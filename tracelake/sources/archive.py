@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -13,24 +14,13 @@ from pyspark.sql import functions as F
 
 from tracelake.operators.chunked import running
 from tracelake.session import ship
+from tracelake.sources.fs import open_file
 
 PLAIN, GZIP, TAR_GZ = "plain", "gzip", "tar.gz"
 GZIP_MAGIC = b"\x1f\x8b"
 BLOCK = 512
 
 
-def open_file(path: str):
-    """A readable binary stream of a local path or of any address Arrow's filesystems know."""
-    if "://" not in path and not path.startswith("file:"):
-        return open(path, "rb")
-    if path.startswith("file:"):
-        return open("/" + path[5:].lstrip("/"), "rb")
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_stream(inner)
-
-
 def format_by_name(path: str) -> str | None:
     p = path.lower()
     return TAR_GZ if p.endswith((".tar.gz", ".tgz")) else GZIP if p.endswith((".gz", ".gzip")) else None
@@ -162,3 +152,88 @@ def find_members(members: DataFrame, name: str | None = None, begin: int | None
     if begin is not None:
         out = out.filter(F.col("uncompressed_offset") >= begin)
     return out if end is None else out.filter(F.col("uncompressed_offset") < end)
+
+
+def read_bytes(path: str, begin: int, end: int, name: str | None = None, block: int = 1 << 20) -> bytes:
+    """Bytes [begin, end) of an archive's regular members laid end to end, or of the first one called `name`; streamed on the driver.
+
+    Raises ValueError for a range that can't be or goes beyond the end, and for a member that isn't there.
+    """
+    if begin < 0 or end <= begin:
+        raise ValueError(f"no such byte range: {begin}..{end}")
+    out, at = bytearray(), 0
+    for tar, m in _members(path):
+        if not m.isreg() or (name is not None and m.name != name):
+            continue
+        if at + m.size > begin and at < end:
+            f = tar.extractfile(m)
+            left = max(0, begin - at)
+            while left:
+                left -= len(f.read(min(block, left)))
+            out += f.read(min(end, at + m.size) - max(begin, at))
+        at += m.size
+        if at >= end or name is not None:
+            break
+    if at < end:
+        raise ValueError(f"{path} ends before byte {end}" if name is None or at else f"{path} has no member {name}")
+    return bytes(out)
+
+
+def member_lines(spark: SparkSession, paths: Sequence[str], name: str) -> DataFrame:
+    """tar_lines of the members called `name`."""
+    return tar_lines(spark, paths).filter(F.col("file_name") == name)
+
+
+_GZIP = "path string, compressed long, trailer long, members long"
+
+
+def gzip_sizes(files: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """path, compressed (bytes), trailer (the size the file's last four bytes say, of the last member, modulo 4 GB; NULL of files too short) and
+    members (places where a member's header stands and its data inflates) of gzip files (`path`).
+
+    Nothing is inflated but the beginning of what looks like a member, so this costs a read of the compressed bytes.
+    """
+    ship(files.sparkSession)
+
+    def starts(path: str) -> int:
+        n, tail = 0, b""
+        with open_file(path) as f:
+            while data := f.read(block):
+                text = tail + data
+                i = text.find(_MEMBER)
+                while i >= 0:
+                    if i + 64 <= len(text) or len(data) < block:
+                        n += _inflates(text[i : i + 4096])
+                        i = text.find(_MEMBER, i + 1)
+                    else:
+                        break
+                tail = text[i:] if i >= 0 else text[-3:]
+        return n + (len(tail) >= 10 and tail.startswith(_MEMBER) and _inflates(tail))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                with open_file(p) as f:
+                    size = f.size()
+                    f.seek(max(0, size - 4))
+                    last = f.read(4)
+                rows.append((p, size, int.from_bytes(last, "little") if size >= 18 else None, starts(p)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _GZIP.split(", ")])
+
+    return files.select("path").mapInPandas(run, _GZIP)
+
+
+# Fixed value: magic and method of a gzip member.
+_MEMBER = b"\x1f\x8b\x08"
+
+
+def _inflates(data: bytes) -> bool:
+    """Whether a gzip member begins here: no reserved flag is set, and what follows the header can be inflated."""
+    if len(data) < 10 or data[3] & 0xE0:
+        return False
+    try:
+        zlib.decompressobj(31).decompress(data, 4096)
+    except zlib.error:
+        return False
+    return True

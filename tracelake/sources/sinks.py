@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import gzip
-import os
-import shutil
+import io
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import vocab as V
 from tracelake.functions.lines import is_event_line, without_comma
 from tracelake.session import ship
+from tracelake.sources import fs
 
 
 def event_lines(lines: DataFrame) -> DataFrame:
@@ -23,10 +24,10 @@ def event_lines(lines: DataFrame) -> DataFrame:
 
 
 def _refuse(path: str, force: bool) -> None:
-    if os.path.exists(path):
+    if fs.exists(path):
         if not force:
             raise FileExistsError(path)
-        shutil.rmtree(path) if os.path.isdir(path) else os.remove(path)
+        fs.remove(path)
 
 
 def write_lines(lines: DataFrame, out_dir: str, compress: bool = False, force: bool = False) -> None:
@@ -48,26 +49,65 @@ def merge_traces(lines: DataFrame, path: str, compress: bool = False, force: boo
     rows = event_lines(lines)
     if "line_no" in rows.columns:
         rows = rows.repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no")
-    opener = gzip.open if compress else open
     n = 0
     try:
         rows.select("value").write.option("lineSep", "\n").text(parts)
-        with opener(f"{path}.part", "wb") as out:
+        with fs.finished(path, f"{path}.{uuid.uuid4().hex}.part") as raw:
+            out = gzip.GzipFile(fileobj=raw, mode="wb") if compress else raw
             out.write(b"[\n")
-            for p in sorted(f for f in os.listdir(parts) if f.startswith("part-")):
-                with open(os.path.join(parts, p), "rb") as f:
-                    for line in f:
+            for p in (f for f in fs.names(parts) if f.startswith("part-")):
+                with fs.open_file(fs.join(parts, p)) as f:
+                    for line in io.BufferedReader(f, 1 << 20):
                         out.write((b",\n" if n and strict else b"") + (line.rstrip(b"\n") if strict else line))
                         n += 1
             out.write(b"\n]\n" if strict else b"]\n")
-        os.replace(f"{path}.part", path)
+            if compress:
+                out.close()
     finally:
-        shutil.rmtree(parts, ignore_errors=True)
-        if os.path.exists(f"{path}.part"):
-            os.remove(f"{path}.part")
+        fs.remove(parts)
     return n
 
 
+_GZIPPED = "path string, target string, original_bytes long, compressed_bytes long"
+
+
+def gzip_files(files: DataFrame, out_dir: str, level: int = 6, block: int = 1 << 20) -> DataFrame:
+    """Every file of `files` (path) compressed as it is, byte for byte, to `out_dir` under its name and .gz; the input stays.
+
+    Returns path, target, original_bytes, compressed_bytes. Each file is streamed by one task, under another name
+    that becomes its own once it is whole. Files of one name in different folders would overwrite each other and are
+    refused.
+    """
+    ship(files.sparkSession)
+    name = F.substring_index("path", "/", -1)
+    twice = files.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"several files are called {twice[0].name}")
+    fs.make_folder(out_dir)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                target = fs.join(out_dir, p.rstrip("/").rsplit("/", 1)[-1] + ".gz")
+                size = 0
+                with fs.open_file(p) as src, fs.finished(target, f"{target}.{uuid.uuid4().hex}.part") as raw:
+                    with gzip.GzipFile(filename="", fileobj=raw, mode="wb", compresslevel=level, mtime=0) as out:
+                        while data := src.read(block):
+                            out.write(data)
+                            size += len(data)
+                rows.append((p, target, size, fs.size(target)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _GZIPPED.split(", ")])
+
+    return files.select("path").repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "path").mapInPandas(run, _GZIPPED)
+
+
+def compression_summary(done: DataFrame) -> DataFrame:
+    """n_files, original_bytes, compressed_bytes, ratio (compressed to original, 0 without bytes) of what `gzip_files` returns."""
+    sums = done.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("original_bytes"), F.lit(0)).alias("original_bytes"), F.coalesce(F.sum("compressed_bytes"), F.lit(0)).alias("compressed_bytes"))
+    return sums.withColumn("ratio", F.when(F.col("original_bytes") > 0, F.col("compressed_bytes") / F.col("original_bytes")).otherwise(F.lit(0.0)))
+
+
 def write_chunks(tagged: DataFrame, out_dir: str, app: str = "app", compress: bool = True, force: bool = False) -> DataFrame:
     """One file <app>-<chunk>.pfw[.gz] per chunk of `tagged` (chunk, file, line_no, value). Returns chunk, path, n_events, n_bytes.
 
@@ -75,44 +115,37 @@ def write_chunks(tagged: DataFrame, out_dir: str, app: str = "app", compress: bo
     output file by definition, and its lines are streamed through that task.
     """
     _refuse(out_dir, force)
-    os.makedirs(out_dir)
+    fs.make_folder(out_dir)
     ship(tagged.sparkSession)
     suffix = ".pfw.gz" if compress else ".pfw"
     rows = event_lines(tagged).select("chunk", "file", "line_no", "value").repartition("chunk").sortWithinPartitions("chunk", "file", "line_no")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, at, n, size, part = None, None, 0, 0, ""
-
-        def close() -> pd.DataFrame:
+    def write(chunk: int, lines: Iterator[str]) -> tuple[int, str, int, int]:
+        target, n, size = fs.join(out_dir, f"{app}-{chunk}{suffix}"), 0, 0
+        with fs.finished(target, fs.join(out_dir, f".{app}-{chunk}.{uuid.uuid4().hex}")) as raw:
+            out = gzip.GzipFile(fileobj=raw, mode="wb") if compress else raw
+            out.write(b"[\n")
+            for v in lines:
+                data = v.encode() + b"\n"
+                out.write(data)
+                n, size = n + 1, size + len(data)
             out.write(b"]\n")
-            out.close()
-            target = os.path.join(out_dir, f"{app}-{at}{suffix}")
-            os.replace(part, target)
-            return pd.DataFrame([(at, target, n, size)], columns=["chunk", "path", "n_events", "n_bytes"])
+            if compress:
+                out.close()
+        return chunk, target, n, size
 
-        for b in batches:
-            for chunk, lines in b.groupby("chunk", sort=False)["value"]:
-                if chunk != at:
-                    if out is not None:
-                        yield close()
-                    at, n, size = int(chunk), 0, 0
-                    part = os.path.join(out_dir, f".{app}-{at}.{uuid.uuid4().hex}")
-                    out = (gzip.open if compress else open)(part, "wb")
-                    out.write(b"[\n")
-                for v in lines:
-                    data = v.encode() + b"\n"
-                    out.write(data)
-                    n, size = n + 1, size + len(data)
-        if out is not None:
-            yield close()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flat = ((int(c), v) for b in batches for c, v in zip(b["chunk"], b["value"]))
+        for chunk, own in itertools.groupby(flat, key=lambda x: x[0]):
+            yield pd.DataFrame([write(chunk, (v for _, v in own))], columns=["chunk", "path", "n_events", "n_bytes"])
 
     return rows.mapInPandas(run, "chunk long, path string, n_events long, n_bytes long")
 
 
 def write_metrics_csv(metrics: DataFrame, out_dir: str, force: bool = False) -> None:
-    """Metrics as CSV with a header; NULL is empty, sets are joined by `|`."""
+    """Metrics as CSV with a header; NULL is empty, sets are joined by `|`, blanks at a value's ends stay."""
     flat = metrics.select(*[F.concat_ws("|", c).alias(c) if t.startswith("array") else F.col(c) for c, t in metrics.dtypes])
-    flat.write.mode("overwrite" if force else "errorifexists").option("header", True).option("nullValue", "").csv(out_dir)
+    flat.write.mode("overwrite" if force else "errorifexists").options(header=True, nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(out_dir)
 
 
 def metrics_layout(metrics: DataFrame) -> DataFrame:

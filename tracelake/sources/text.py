@@ -7,18 +7,22 @@ per split, summed over a file's splits, gives the lines and bytes before it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import gzip
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracelake.functions.lines import is_event_line, is_json_line, without_comma
-from tracelake.session import ship
+from tracelake.session import is_small, ship
+from tracelake.sources import fs
 
-#: Splits up to which their summary is broadcast: 4 TB of plain files at the default split size.
+#: Splits up to which their summary is broadcast, if their names' bytes allow it too (`is_small`).
 BROADCAST_SPLITS = 1_000_000
 
 
@@ -45,7 +49,7 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str], pattern: str
     ends = inside.groupBy("file", "split").agg(F.max("line_no").alias("n"), F.max("newline").alias("last"))
     order = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     before = ends.select("file", "split", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("lines_before"), F.coalesce(F.sum(F.col("last") + 1).over(order), F.lit(0)).alias("bytes_before"))
-    small = before.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
+    small = is_small(before, BROADCAST_SPLITS)
     joined = inside.join(F.broadcast(before) if small else before, ["file", "split"])
     shift = lambda c, by: (F.col(c) + F.col(by)).alias(c)
     newline = F.col("newline") + F.col("bytes_before")
@@ -77,13 +81,72 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, lines, size = (file[-1].as_py(), int(split[-1])), int(no[-1]), int(end[-1])
 
 
-def read_lines(numbered: DataFrame, first: int, last: int) -> DataFrame:
-    """Lines first..last (from 1, both included) of each file. Raises ValueError for a range that can't be."""
+def read_lines(numbered: DataFrame, first: int, last: int, strict: bool = False) -> DataFrame:
+    """Lines first..last (from 1, both included) of each file. Raises ValueError for a range that can't be.
+
+    `strict`: also for one that goes beyond the end of a file, which takes a count of the lines.
+    """
     if first < 1 or last < first:
         raise ValueError(f"no such line range: {first}..{last}")
+    if strict and (short := numbered.groupBy("file").agg(F.max("line_no").alias("n")).filter(F.col("n") < last).limit(1).collect()):
+        raise ValueError(f"{short[0].file} ends at line {short[0].n}, before line {last}")
     return numbered.filter(F.col("line_no").between(first, last))
 
 
+class LineProcessor:
+    """Sees a file's lines one by one, in order; override what is needed. `rows` are what it leaves behind."""
+
+    def begin(self, file: str) -> None:
+        self.rows: list[tuple] = []
+
+    def process(self, line_no: int, line: str) -> bool | None:
+        """False ends this file; no later line is seen."""
+
+    def end(self) -> None: ...
+
+
+def process_lines(numbered: DataFrame, make: Callable[[], LineProcessor], schema: str) -> DataFrame:
+    """The rows, of `schema`, that a processor of `make` leaves for each file of `numbered` (a range of it, as `read_lines` and `read_line_bytes` give).
+
+    A callback in order needs a file's range in one task, where it is streamed; files run side by side. A file none
+    of whose lines are in the range has no processor. Rows are handed on while the file is read.
+    """
+    ship(numbered.sparkSession)
+    fields = T._parse_datatype_string(schema)
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
+    names = kinds.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: str | None = None
+        p: LineProcessor | None = None
+        stopped = False
+
+        def rows(final: bool) -> Iterator[pa.RecordBatch]:
+            if final:
+                p.end()
+            if p.rows:
+                cols = list(zip(*p.rows))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds.types)], names=names)
+                p.rows = []
+
+        for b in batches:
+            for file, no, line in zip(*(c.to_pylist() for c in b.columns)):
+                if p is None or file != at:
+                    if p is not None:
+                        yield from rows(True)
+                    at, p, stopped = file, make(), False
+                    p.begin(file)
+                if not stopped:
+                    stopped = p.process(no, line) is False
+            if p is not None:
+                yield from rows(False)
+        if p is not None:
+            yield from rows(True)
+
+    ordered = numbered.select("file", F.col("line_no").cast("long"), "value").repartition("file").sortWithinPartitions("file", "line_no")
+    return ordered.mapInArrow(run, fields)
+
+
 def read_line_bytes(numbered: DataFrame, begin: int, end: int) -> DataFrame:
     """Whole lines of the byte range [begin, end) of each file: those whose newline lies in it.
 
@@ -97,13 +160,9 @@ def read_line_bytes(numbered: DataFrame, begin: int, end: int) -> DataFrame:
 
 def read_bytes(spark: SparkSession, path: str, begin: int, end: int, block: int = 1 << 20) -> bytes:
     """Bytes [begin, end) of a plain or gzip file's uncompressed text, streamed on the driver. Raises ValueError beyond the end."""
-    import gzip
-
-    from tracelake.sources.archive import open_file
-
     if begin < 0 or end <= begin:
         raise ValueError(f"no such byte range: {begin}..{end}")
-    with open_file(path) as raw:
+    with fs.open_file(path) as raw:
         f = gzip.GzipFile(fileobj=raw) if path.lower().endswith((".gz", ".gzip")) else raw
         left = begin
         while left:
