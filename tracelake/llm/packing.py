@@ -107,7 +107,7 @@ def _pack(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, int]], stret
         for c in done:
             items = p.items.pop(c)
             fill = sum(x[0] for x in items)
-            out += [(name, f"{name}-{chunk:05d}-{c:08d}", p.capacity, fill, doc, at, size) for size, doc, at in items]
+            out += [(name, f"{name}-{p.capacity}-{chunk:05d}-{c:08d}", p.capacity, fill, doc, at, size) for size, doc, at in items]
         for k in range(0, len(out), 50_000):
             yield pa.record_batch([pa.array(list(col), t) for col, t in zip(zip(*out[k : k + 50_000]), _TYPES)], names=_NAMES)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tracelake.llm import digest, mixing, packing, runs, truncation
 from tracelake.operators.events import plain_spellings, valid_events
@@ -39,6 +40,16 @@ def p8_fills(spark: SparkSession, d: str) -> DataFrame:
     return packing.fills(p8_packed(spark, d))
 
 
+def p8_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind: texts placed, and whether each is placed once and whole, no container is overfull, and only what is too long is split."""
+    p = p8_packed(spark, d)
+    boxes = p.groupBy("pack_kind", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("n"), F.max("container_tokens").alias("said"))
+    fits = boxes.groupBy("pack_kind", "capacity_tokens").agg(F.bool_and((F.col("n") <= F.col("capacity_tokens")) & (F.col("n") == F.col("said"))).alias("fits"))
+    texts = p.groupBy("pack_kind", "capacity_tokens", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.countDistinct("from_token").alias("places"), F.max(F.col("from_token") + F.col("n_tokens")).alias("end"))
+    whole = (F.col("places") == F.col("pieces")) & (F.col("end") == F.col("n")) & ((F.col("pieces") == 1) | (F.col("n") > F.col("capacity_tokens")))
+    return texts.groupBy("pack_kind", "capacity_tokens").agg(F.count(F.lit(1)).alias("n_texts"), F.bool_and(whole).alias("whole")).join(fits, ["pack_kind", "capacity_tokens"])
+
+
 # 9: mixing sources
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
@@ -48,6 +59,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
+def p9_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: its settings and documents, whether no document occurs too often, and whether its share is as near to the reachable one as a document is long."""
+    drawn, shares = mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))
+    most = drawn.groupBy("source").agg(F.max("copies").alias("most"), F.max("n_tokens").alias("longest"))
+    total = F.sum("n_tokens").over(Window.partitionBy(F.lit(0)))  # a row per source
+    rows = shares.withColumn("total", total).join(most, "source", "left")
+    off = F.abs(F.col("mix_tokens") - F.col("reachable_share") * F.col("total"))
+    return rows.select("source", "target_share", "max_repeats", "n_docs", F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("within_repeats"), F.coalesce(off <= F.col("longest"), F.lit(True)).alias("near"))
+
+
 # 10: texts cut off
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents")).filter("cut").select("doc_id")
@@ -57,7 +78,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(truncation.truncated(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p5_groups, p8_packed, p8_fills, p9_mix, p9_shares, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p5_percentiles, p5_groups, p8_packed, p8_fills, p8_sound, p9_mix, p9_shares, p9_sound, p10_found, p10_rates)}
 
 _EDGE = r"[\s\p{Z}\p{C}]+"
 FUNCTION_SQL = rf"nullif(regexp_replace(replace(regexp_replace(lower(regexp_replace(func_name, '^{_EDGE}|{_EDGE}$', '', 'g')), '(?:\(\)|@+[^@\s]*|#[0-9]+)+$', ''), '::', '.'), '{_EDGE}$', ''), '')"
@@ -78,6 +99,8 @@ SELECT g.f AS func_name, func_name AS plain_name, category, day, metric, n, true
 
 SQL = {
     "p5_groups": _GROUPS_SQL,
+    "p8_sound": "SELECT pack_kind, capacity_tokens, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_texts, true AS whole, true AS fits FROM pack_capacities",
+    "p9_sound": "SELECT source, target_share, max_repeats, (SELECT count(*) FROM documents d WHERE d.source = t.source) AS n_docs, true AS within_repeats, true AS near FROM source_targets t",
     "p1_found": f"{_RUNS_SQL} SELECT pid, tid, first_event_id, last_event_id FROM runs WHERE n_events >= 2",
     "p1_runs": f"""{_RUNS_SQL}, raw AS (SELECT func_name, {FUNCTION_SQL} AS f, count(*) AS n FROM trace WHERE is_valid IS DISTINCT FROM false GROUP BY ALL),
 plain AS (SELECT f, func_name FROM raw QUALIFY row_number() OVER (PARTITION BY f ORDER BY n DESC, func_name) = 1)
