@@ -187,3 +187,18 @@ def test_day_of(spark):
 
 def test_schema_string_is_whole():
     assert "ingested_at" in TRACE
+
+
+def test_many_intervals_of_one_start(spark):
+    rows = [{"pid": 1, "epoch": 1, "time_start": 5, "time_end": 5 + i % 7} for i in range(30_000)] + [{"pid": None, "epoch": 1, "time_start": 5, "time_end": 9}] * 3
+    df = trace(spark, rows).repartition(4)
+    assert bag(intervals.periods_and_gaps(df, ["pid", "epoch"])) == {(1, 1, "period", 5, 11): 1, (None, 1, "period", 5, 9): 1}
+
+
+def test_copies_prove_themselves(spark, tmp_path):
+    df = spark.range(5000).select("id", F.col("id").cast("string").alias("s"), F.array("id").alias("a"))
+    for d, name in ((df, "whole"), (df.limit(0), "empty"), (df.union(df), "twice")):
+        r = smallfiles.copy_totals(d, str(tmp_path / name), records_per_file=400).first()
+        assert (r.n_rows, r.n_copied, r.same, r.fewer) == (d.count(), d.count(), True, True)
+    few = len(list((tmp_path / "whole" / "large").iterdir()))
+    assert few < len(list((tmp_path / "whole" / "small").glob("*.parquet")))

@@ -166,3 +166,43 @@ def test_sets_and_members(spark, monkeypatch):
     monkeypatch.setattr(T, "MAX_SET", 4)
     assert sets() == {"p": None, "q": [], "r": ["only"], None: ["n"]}
     assert sorted(x.file_name for x in T.unique_members(e, "file_name", "").collect()) == ["f0", "f1", "f2", "f3", "f4", "n", "only"]
+
+
+def test_labels_and_kinds(spark):
+    names = ["read", "pwrite", "open64", "closedir", "__xstat64", "fseek", "rename", "fsync", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    kind = S.io_type(F.col("n"))
+    got = [tuple(r) for r in df.select(kind.alias("k"), S.compact_io_type(kind).alias("c"), S.metadata_operation(F.col("n")).alias("o")).collect()]
+    m = ("metadata", "M")
+    assert got == [("read", "R", None), ("write", "W", None), (*m, "open"), (*m, "close"), (*m, "stat"), (*m, "seek"), (*m, None), (None, None, None), (None, None, None)]
+    labels = spark.createDataFrame([("rank",), ("bw",), ("other",), (None,)], "x string").select(S.view_label(F.col("x")), S.metric_label(F.col("x"))).collect()
+    assert [tuple(r) for r in labels] == [("Rank", "rank"), ("bw", "I/O Bandwidth"), ("other", "other"), (None, None)]
+    v = spark.createDataFrame([("/a/b12.c", "app#host7.site#1#2"), (None, None), ("plain", "app#h")], "f string, p string")
+    out = [r.asDict() for r in v.select(*[c.alias(k) for k, c in S.logical_views(F.col("f"), F.col("p")).items()]).collect()]
+    assert out[0] == {"file_dir": "/a", "file_pattern": "/a/b[0-9].c", "app_name": "app", "host_name": "host7.site", "node_name": "host7", "proc_id": "1", "rank": None, "thread_id": "2"}
+    assert out[2]["thread_id"] is None and out[2]["file_dir"] == "" and set(out[1].values()) <= {None, ""}
+
+
+def test_configured_replay(spark):
+    import pytest
+
+    rows = [("a", "read", "posix", 0, 100, 130), ("a", "close", "posix", 0, 25_000_000, 25_000_010), ("b", "read", "posix", 0, 5, 6), ("b", "mmap", "other", 0, 9, 9)]
+    df = spark.createDataFrame(rows, "file string, func_name string, cat string, type int, time_start long, time_end long").withColumn("longest_wait_us", F.lit("clash"))
+    waits = lambda **k: sorted((r.file, r.longest_wait_us, r.outcome) for r in replay.configured_plan(df, replay.ReplayConfig(**k)).collect())
+    assert waits() == [("a", 0, "executed"), ("a", 10_000_000, "executed"), ("b", 0, "executed"), ("b", 4, "failed")]
+    assert waits(timing_scale=0.5, start_time_offset=77)[3] == ("b", 2, "failed") and {w for _, w, _ in waits(maintain_timing=False)} == {0}
+    assert [o for _, _, o in waits(sleep_mode=True, functions=("read",))] == ["executed", "filtered", "executed", "filtered"]
+    for bad in ({"timing_scale": 0}, {"max_file_size": -1}):
+        with pytest.raises(ValueError):
+            replay.ReplayConfig(**bad)
+
+
+def test_lines_of_more_than_one_value(spark):
+    from tracelake.sources import text
+
+    whole = '{"name":"read","cat":"posix","ph":"X","pid":1,"tid":1,"ts":5,"dur":1}'
+    bad = [whole + t for t in ("}", "]", ";", "]],", whole, "," + whole, " 7", ',"y":2', ", 7]", "],[1")] + [whole[:-1], "[" + whole]
+    good = [whole, whole + ",", f" {whole} ,"]
+    df = spark.createDataFrame([(x,) for x in bad + good], "value string")
+    assert [r.value for r in T.parse_trace(df.withColumn("line", F.col("value"))).withColumnRenamed("line", "value").collect()] == good
+    assert text.json_documents(df).count() == len(good)

@@ -26,3 +26,16 @@ def is_event_line(line: Column) -> Column:
 def without_comma(line: Column) -> Column:
     """The trimmed line without the comma that may follow its object."""
     return F.regexp_replace(trimmed(line), ",$", "")
+
+
+_END = "tracelake-end"
+
+
+def json_value(line: Column) -> Column:
+    """The one JSON value that a line is (a comma may follow), as a VARIANT; NULL where it is none, or more than one value.
+
+    The parser itself stops after a value and takes no notice of what follows, so the line is read as the first item
+    of an array whose second one must be ours.
+    """
+    items = F.try_parse_json(F.concat(F.lit("["), without_comma(line), F.lit(f', "{_END}"]')))
+    return F.when(F.try_variant_get(items, "$[1]", "string") == _END, F.try_variant_get(items, "$[0]", "variant"))

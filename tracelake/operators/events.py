@@ -12,6 +12,7 @@ from tracelake.operators.bits import bit_table, with_bit
 DAY_US = 86_400_000_000
 #: Blanks, controls, invisible format characters and non-characters at either end of a name.
 EDGE = r"[\s\p{Z}\p{C}]+"
+_PLAIN = "^[A-Za-z0-9_.]+$"
 
 
 def valid_events(trace: DataFrame) -> DataFrame:
@@ -50,7 +51,12 @@ def function_key(name: Column) -> Column:
     k = F.regexp_replace(name, f"^{EDGE}|{EDGE}$", "")
     k = F.regexp_replace(F.lower(k), r"(?:\(\)|@+[^@\s]*|#[0-9]+)+$", "")
     k = F.regexp_replace(F.replace(k, F.lit("::"), F.lit(".")), f"{EDGE}$", "")
-    return F.nullif(k, F.lit(""))
+    return F.when(name.rlike(_PLAIN), F.lower(name)).otherwise(F.nullif(k, F.lit("")))  # most names have nothing to be taken off
+
+
+def plain_category(cat: Column) -> Column:
+    """A category in lower case, without blanks and invisible characters around it."""
+    return F.lower(F.when(cat.rlike(_PLAIN), cat).otherwise(F.regexp_replace(cat, f"^{EDGE}|{EDGE}$", "")))
 
 
 def plain_spellings(events: DataFrame, name: str = "func_name") -> DataFrame:

@@ -1,7 +1,7 @@
 """From trace lines to typed events, and from events to high-level metrics.
 
-Every stage is a function from DataFrame to DataFrame. A whole analysis is one projection over the scan, one
-small aggregate for the time base, a join per hash dictionary, and one shuffle for the metrics.
+Every stage is a function from DataFrame to DataFrame. A whole analysis parses the lines once into typed events; over
+those it is one small aggregate for the time base, a join per hash dictionary, and one shuffle for the metrics.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import scalar as S
 from tracelake.functions import vocab as V
-from tracelake.functions.lines import is_event_line, without_comma
+from tracelake.functions.lines import is_event_line, json_value
 from tracelake.operators.chunked import running
-from tracelake.session import cut, is_small, ship
+from tracelake.session import cut, is_small, ship, stored
 
 PARSED = {"type", "func_name", "cat", "ph", "pid", "tid", "hhash", "fhash", "time_start", "time_end", "duration", "count", "ret", "offset", "image_id", "epoch", "io_cat", "size", "acc_pat", *V.BIN_COLUMNS}
 #: Rows up to which a hash dictionary is broadcast, if it is also small enough in bytes (`is_small`); larger ones are joined by key.
@@ -37,7 +37,7 @@ def parse_trace(lines: DataFrame, value: str = "value", mode: str = "analyze") -
     if mode not in ("analyze", "replay"):
         raise ValueError(f"no such mode: {mode}")
     keep = [F.col(f"`{c}`") for c in lines.columns if c != value and c not in PARSED]
-    doc = F.try_parse_json(without_comma(F.col(value)))
+    doc = json_value(F.col(value))
     rows = lines.filter(is_event_line(F.col(value))).select(*keep, doc.alias("_tl_j")).filter("_tl_j is not null")
     get = lambda path, kind: F.try_variant_get("_tl_j", f"$.{path}", kind)
     meta = get("ph", "string") == "M"
@@ -281,8 +281,12 @@ def humanized(df: DataFrame) -> DataFrame:
 
 
 def analyze(events: DataFrame, views: str | Sequence[str] = ("proc_name", "file_name"), granularity: float = 1e6, resolution: float = 1e6) -> DataFrame:
-    """Parsed events (all types) -> high-level metrics, by way of every stage above."""
-    events = kept_events(events)
+    """Parsed events (all types) -> high-level metrics, by way of every stage above.
+
+    Lines are parsed once: the typed events are stored, and dictionaries, time base, epochs and metrics read the
+    columns they need from there.
+    """
+    events = stored(kept_events(events))
     named = name_processes(resolve_hashes(regular_events(events), *dictionaries_of(events)))
     timed = normalize_time(named, granularity, resolution)
     if "epoch" in views_of(views):

@@ -172,18 +172,43 @@ def valid_line_filter(spark, d):
     return table(spark, d, "raw_lines").select("line_id", L.is_json_line(c).alias("is_json"), L.is_event_line(c).alias("is_event"))
 
 
-# Parsing (SQL can't tell VARIANT's leniency; see tests)
-@query()
+# Parsing
+_TEXT = lambda p: f"json_extract_string(b, '$.{p}')"
+#: A whole number, or a text that spells one; of other numbers the whole part; true is 1.
+_LONG = lambda p: f"""CASE json_type(b, '$.{p}') WHEN 'BOOLEAN' THEN CAST(json_extract(b, '$.{p}') AS BOOLEAN)::BIGINT
+  WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match({_TEXT(p)}, '\\s*[+-]?[0-9]+\\s*') THEN TRY_CAST({_TEXT(p)} AS BIGINT) END
+  ELSE CASE WHEN regexp_full_match({_TEXT(p)}, '-?[0-9]+') THEN TRY_CAST({_TEXT(p)} AS BIGINT) WHEN abs(TRY_CAST({_TEXT(p)} AS DOUBLE)) < 9e18 THEN CAST(trunc(TRY_CAST({_TEXT(p)} AS DOUBLE)) AS BIGINT) END END"""
+_KINDS = lambda names: " ".join(f"WHEN name = '{k}' THEN {V.TYPE_CODES[k]}" for k in names)
+_PARSED = lambda names, cat: f"""b AS (SELECT line_id, regexp_replace({_TRIM}, ',$', '') AS b FROM raw_lines WHERE fmt = 'json' AND {_EVENT_LINE}),
+d AS (SELECT line_id, b, coalesce({_TEXT('ph')} = 'M', false) AS meta, coalesce({_TEXT('name')}, '') AS name, coalesce({_TEXT('args.value')}, '') AS val FROM b WHERE json_valid(b)),
+k AS (SELECT *, CASE WHEN NOT meta THEN {V.REGULAR} {_KINDS(names)} ELSE {V.OTHER_METADATA} END AS type FROM d),
+p AS (SELECT line_id, type, CASE WHEN type <> 0 THEN coalesce({_TEXT('args.name')}, '') ELSE name END AS func_name, {cat.format(f"coalesce({_TEXT('cat')}, '')")} AS cat, {_TEXT('ph')} AS ph,
+  coalesce({_LONG('pid')}, 0) AS pid, coalesce({_LONG('tid')}, 0) AS tid, CASE WHEN type = 2 THEN val ELSE coalesce({_TEXT('args.hhash')}, '') END AS hhash,
+  CASE WHEN type NOT IN (0, 2) THEN val ELSE coalesce({_TEXT('args.fhash')}, '') END AS fhash, coalesce({_LONG('ts')}, 0) AS time_start, coalesce(TRY_CAST({_TEXT('dur')} AS DOUBLE), 0.0::DOUBLE) AS duration,
+  CAST(1 AS BIGINT) AS count, {_LONG('args.ret')} AS ret, {_LONG('args.size')} AS size, {_LONG('args.offset')} AS "offset", {_LONG('args.image_idx')} AS image_id, coalesce({_LONG('args.epoch')}, 0) AS epoch FROM k),
+e AS (SELECT *, TRY_CAST(time_start::HUGEINT + TRY_CAST(trunc(duration) AS BIGINT) AS BIGINT) AS time_end FROM p)"""
+_IO = "cat IN ('posix','stdio')"
+
+
+@query(
+    f"""WITH {_PARSED(V.TYPE_CODES, "lower({})")}, c AS (SELECT * EXCLUDE (ret, size, "offset", image_id), CASE WHEN {_IO} THEN {W.label_sql()} ELSE 'other' END AS io_cat,
+  CASE WHEN {_IO} AND {W.label_sql()} IN ('read','write') AND ret > 0 THEN ret END AS size, CASE WHEN {_IO} THEN "offset" END AS "offset", CASE WHEN NOT {_IO} THEN image_id END AS image_id, '0' AS acc_pat FROM e)
+SELECT *, {W.bins_sql()} FROM c"""
+)
 def parse_lines(spark, d):
     return T.parse_trace(table(spark, d, "raw_lines").filter("fmt = 'json'").select("line_id", F.col("line").alias("value")))
 
 
-@query()
+@query(f"""WITH {_PARSED(("FH", "HH"), "{}")} SELECT * EXCLUDE (ret, image_id, epoch, count) FROM e""")
 def parse_lines_replay(spark, d):
     return T.parse_trace(table(spark, d, "raw_lines").filter("fmt = 'json'").select("line_id", F.col("line").alias("value")), mode="replay")
 
 
-@query()
+@query(
+    f"""WITH b AS (SELECT line_id, regexp_replace({_TRIM}, ',$', '') AS b FROM raw_lines WHERE fmt = 'json' AND {_JSON_LINE})
+SELECT line_id, json_extract_string(b, '$.name') AS name, coalesce(TRY_CAST(json_extract_string(b, '$.args.epoch') AS BIGINT), 0) AS epoch, coalesce(json_exists(b, '$.args.ret'), false) AS has_ret,
+CASE WHEN json_type(b) = 'OBJECT' THEN CAST(len(json_keys(b)) AS INTEGER) END AS n_keys FROM b WHERE json_valid(b)"""
+)
 def json_documents(spark, d):
     docs = text.json_documents(table(spark, d, "raw_lines").filter("fmt = 'json'").withColumnRenamed("line", "value"))
     return docs.select("line_id", text.json_get("name").alias("name"), text.json_get("args.epoch", "long", 0).alias("epoch"), text.json_has("args.ret").alias("has_ret"), F.size(text.json_keys()).alias("n_keys"))
@@ -236,7 +261,7 @@ _hlm("hlm_all_views", "file_name, proc_name, time_range", ["file_name", "proc_na
 
 @query(W.hlm_sql(["proc_name"], ["file_name"]))
 def hlm_unique_sets(spark, d):
-    m = T.high_level_metrics(W.timed_events(spark, d), "")
+    m = T.high_level_metrics(W.timed_events(spark, d, store=True), "")
     return m.withColumn("file_name_set", F.concat_ws("|", "file_name_set"))
 
 
@@ -261,19 +286,19 @@ def epoch_spans(spark, d):
 
 @query(f"WITH {W.EPOCH_SQL} SELECT event_id, epoch FROM assigned")
 def epoch_assign(spark, d):
-    m = W.timed_events(spark, d)
+    m = W.timed_events(spark, d, store=True)
     return T.assign_epochs(m, T.epoch_spans(m, 3.6e9)).select("event_id", "epoch")
 
 
 @query(f"WITH {W.EPOCH_SQL} SELECT event_id, epoch FROM assigned")
 def epoch_assign_by_bucket(spark, d):
-    m = W.timed_events(spark, d)
+    m = W.timed_events(spark, d, store=True)
     return T.assign_epochs(m, T.epoch_spans(m, 3.6e9), chain=0).select("event_id", "epoch")
 
 
 @query(W.hlm_sql(["epoch", "proc_name"], source="assigned", pre=W.EPOCH_SQL))
 def hlm_epoch(spark, d):
-    m = W.timed_events(spark, d)
+    m = W.timed_events(spark, d, store=True)
     return T.high_level_metrics(T.assign_epochs(m, T.epoch_spans(m, 3.6e9)), "epoch", sets=False)
 
 

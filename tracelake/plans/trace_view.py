@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import vocab as V
 from tracelake.operators import trace as T
-from tracelake.operators.events import EDGE, distinct_events
-from tracelake.session import table
+from tracelake.operators.events import EDGE, distinct_events, plain_category
+from tracelake.session import stored, table
 
 _HASH = rf"^{EDGE[:-1]}*(?:0x)?0*([0-9a-f]{{1,16}}){EDGE[:-1]}*$"
 
@@ -27,7 +27,7 @@ def raw_events(spark: SparkSession, d: str) -> DataFrame:
         e.select(
             "event_id",
             F.coalesce("func_name", F.lit("")).alias("func_name"),
-            F.lower(F.regexp_replace(F.coalesce("cat", F.lit("")), f"^{EDGE}|{EDGE}$", "")).alias("cat"),
+            plain_category(F.coalesce("cat", F.lit(""))).alias("cat"),
             F.lit(V.REGULAR).alias("type"),
             "pid",
             "tid",
@@ -65,8 +65,10 @@ def named_events(spark: SparkSession, d: str) -> DataFrame:
     return T.name_processes(T.resolve_hashes(trace_events(spark, d), file_dictionary(spark, d), host_dictionary(spark, d)))
 
 
-def timed_events(spark: SparkSession, d: str, granularity: float = 3.6e9) -> DataFrame:
-    return T.normalize_time(named_events(spark, d), granularity)
+def timed_events(spark: SparkSession, d: str, granularity: float = 3.6e9, store: bool = False) -> DataFrame:
+    """`store`: for readers that go over the events more than once besides the time base."""
+    named = named_events(spark, d)
+    return T.normalize_time(stored(named) if store else named, granularity)
 
 
 def names(xs: list[str]) -> str:

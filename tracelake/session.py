@@ -91,6 +91,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written once to a scratch folder as Parquet and read back: like `cut`, for what is read several times, each time a few columns or rows of it."""
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is cut or written to a scratch folder inside is removed at the end, so results have to be written inside too."""

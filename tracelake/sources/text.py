@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tracelake.functions.lines import is_event_line, is_json_line, without_comma
+from tracelake.functions.lines import is_event_line, is_json_line, json_value, without_comma
 from tracelake.session import is_small, ship
 from tracelake.sources import fs
 
@@ -46,9 +46,10 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str], pattern: str
     r = r.option("pathGlobFilter", pattern) if pattern else r
     rows = r.text([path] if isinstance(path, str) else list(path)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.when(~F.lower("_metadata.file_path").rlike(r"\.(gz|gzip)$"), F.col("_metadata.file_size")).alias("size"))
     inside = rows.mapInArrow(_number, "value string, file string, split long, size long, line_no long, begin long, newline long")
-    ends = inside.groupBy("file", "split").agg(F.max("line_no").alias("n"), F.max("newline").alias("last"))
+    # Sizes alone, which needs no worker; a split's lines are numbered when they are read for good.
+    ends = rows.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
     order = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    before = ends.select("file", "split", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("lines_before"), F.coalesce(F.sum(F.col("last") + 1).over(order), F.lit(0)).alias("bytes_before"))
+    before = ends.select("file", "split", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("bytes").over(order), F.lit(0)).alias("bytes_before"))
     small = is_small(before, BROADCAST_SPLITS)
     joined = inside.join(F.broadcast(before) if small else before, ["file", "split"])
     shift = lambda c, by: (F.col(c) + F.col(by)).alias(c)
@@ -181,7 +182,7 @@ def read_bytes(spark: SparkSession, path: str, begin: int, end: int, block: int
 
 def json_documents(lines: DataFrame, value: str = "value") -> DataFrame:
     """`lines` with `doc`, the line as a VARIANT parsed on access; framing and broken lines are left out."""
-    return lines.filter(is_json_line(F.col(value))).withColumn("doc", F.try_parse_json(without_comma(F.col(value)))).filter("doc is not null")
+    return lines.filter(is_json_line(F.col(value))).withColumn("doc", json_value(F.col(value))).filter("doc is not null")
 
 
 def json_get(path: str, kind: str = "string", default: object = None, doc: str = "doc"):
