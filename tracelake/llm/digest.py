@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.grouping import grouped_stream
-from tracelake.operators.events import DAY_US, distinct_events, function_key, plain_spellings, repeated_ids, valid_events
+from tracelake.operators.events import DAY_US, distinct_events, function_key, plain_category, plain_spellings, repeated_ids, valid_events
 from tracelake.session import cut, ship, shuffle_partitions
 
 DELTA = 1000.0
@@ -83,7 +83,7 @@ def event_values(trace: DataFrame, repeated: DataFrame | None = None) -> DataFra
     day = F.floor(F.col("time_start") / F.lit(float(DAY_US)))
     return e.select(
         F.coalesce(function_key(F.col("func_name")), F.lit("")).alias("func"),
-        F.coalesce(F.lower(F.regexp_replace("cat", r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$", "")), F.lit("")).alias("category"),
+        F.coalesce(plain_category(F.col("cat")), F.lit("")).alias("category"),
         F.coalesce(day.try_cast("int"), F.lit(NO_DAY)).alias("day"),
         F.when(~F.isnan("duration") & (F.abs("duration") < float("inf")), F.col("duration").cast("double")).alias("duration"),
         F.when(F.col("size") >= 0, F.col("size").cast("double")).alias("size"),

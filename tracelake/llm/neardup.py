@@ -12,6 +12,7 @@ nearly all other keys from being made or moved at all.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -171,10 +172,16 @@ def _ending(keys: np.ndarray, word: int) -> np.ndarray:
     return _joined(keys.view(np.uint64), word).view(np.int64)
 
 
+@functools.lru_cache(512)
+def _sets(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of a text, and those that a word follows. A text is compared with several others, one after another."""
+    _, b = next(blocks([text]))
+    return np.unique(b.shingles[b.whole]), np.unique(b.shingles[b.followed])
+
+
 def contained(a: str, b: str) -> float:
     """The share of the different shingles of `a`, its last word left out, that `b` has too."""
-    (_, x), (_, y) = next(blocks([a])), next(blocks([b]))
-    x, y = np.unique(x.shingles[x.followed]), np.unique(y.shingles[y.whole])
+    x, y = _sets(a)[1], _sets(b)[0]
     return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else 0.0
 
 
