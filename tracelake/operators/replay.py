@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import scalar as S
 from tracelake.functions import vocab as V
 from tracelake.operators.trace import BROADCAST_ROWS
-from tracelake.session import is_small
+from tracelake.session import cut, is_small
 
 LONGEST_SLEEP_US, LONGEST_OPERATION_US = 10_000_000, 1_000
 
@@ -93,7 +93,7 @@ def planned_elapsed(events: DataFrame, file: str, order: str, scale: float = 1.0
     broadcast where they are few, so a file with a third of all events isn't shuffled; else adaptive execution
     splits it.
     """
-    first = events.groupBy(file).agg(F.min_by("time_start", order).alias("_tl_first"))
+    first = cut(events.groupBy(file).agg(F.min_by("time_start", order).alias("_tl_first")))
     rows = events.drop("elapsed_us", "longest_wait_us").join(F.broadcast(first) if is_small(first, BROADCAST_ROWS) else first, file)
     elapsed = ((F.col("time_start") - F.col("_tl_first")) * F.lit(float(scale))).cast("long")
     return rows.withColumn("elapsed_us", elapsed).withColumn("longest_wait_us", F.least(F.greatest(F.col("elapsed_us"), F.lit(0)), F.lit(LONGEST_SLEEP_US)).cast("long")).drop("_tl_first")

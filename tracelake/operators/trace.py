@@ -261,14 +261,15 @@ def unique_members(events: DataFrame, member: str, views: str | Sequence[str] =
 
 
 def _with_set(metrics: DataFrame, members: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
-    """`metrics` with the members of each group that has at most MAX_SET as an array; the counts come first, so no larger group is ever gathered."""
-    counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tl_n"))
-    few = members.join(counts.filter(F.col("_tl_n") <= MAX_SET), [members[k].eqNullSafe(counts[k]) for k in keys], "left_semi")
-    sets = few.groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("_tl_set")).join(counts.withColumnsRenamed({k: f"_tl_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_tl_{k}")) for k in keys], "right")
-    sets = sets.select(*[f"_tl_{k}" for k in keys], "_tl_set", F.lit(True).alias("_tl_some"))
-    joined = metrics.join(sets, [F.col(k).eqNullSafe(F.col(f"_tl_{k}")) for k in keys], "left")
+    """`metrics` with the members of each group that has at most MAX_SET as an array; larger groups, usually none, are found by count first, so none is ever gathered."""
+    named = [F.col(k).alias(f"_tl_{k}") for k in keys]
+    same = lambda df: [df[k].eqNullSafe(F.col(f"_tl_{k}")) for k in keys]
+    large = members.groupBy(*named).agg(F.count(F.lit(1)).alias("_tl_n")).filter(F.col("_tl_n") > MAX_SET)
+    few = members.join(large, same(members), "left_anti")
+    sets = few.groupBy(*named).agg(F.sort_array(F.collect_list(member)).alias(f"{member}_set"))
+    out = metrics.join(sets, same(metrics), "left").drop(*[f"_tl_{k}" for k in keys]).join(large, same(metrics), "left")
     none = F.array().cast("array<string>")
-    return joined.withColumn(f"{member}_set", F.when(F.col("_tl_some"), F.col("_tl_set")).otherwise(none)).drop("_tl_set", "_tl_some", *[f"_tl_{k}" for k in keys])
+    return out.withColumn(f"{member}_set", F.when(F.col("_tl_n").isNull(), F.coalesce(f"{member}_set", none))).drop("_tl_n", *[f"_tl_{k}" for k in keys])
 
 
 def metric_totals(metrics: DataFrame) -> DataFrame:

@@ -408,7 +408,8 @@ _ASOF = f"""WITH {_CP} SELECT n.file, n.newline AS target, cp.checkpoint_idx, cp
 @query(_ASOF)
 def checkpoint_asof(spark, d):
     """The checkpoint of every line."""
-    return index.checkpoint_asof(_checkpoints(spark, d), _numbered(spark, d, texts=False).select("file", F.col("newline").alias("target")))
+    n = _numbered(spark, d, texts=False)
+    return index.checkpoint_asof(index.index_checkpoints(n, 8192), n.select("file", F.col("newline").alias("target")))
 
 
 @query(f"WITH {_CP} SELECT file, checkpoint_idx FROM cp WHERE first_line <= 90 AND last_line >= 40")

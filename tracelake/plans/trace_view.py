@@ -16,7 +16,7 @@ _HASH = rf"^{EDGE[:-1]}*(?:0x)?0*([0-9a-f]{{1,16}}){EDGE[:-1]}*$"
 def plain_hash(text: Column) -> Column:
     """The 16 digits of the hexadecimal number that a hash spells; '' for NULL, and what isn't a number as it is."""
     digits = F.regexp_extract(F.lower(text), _HASH, 1)
-    return F.when(digits != "", F.lpad(digits, 16, "0")).otherwise(F.coalesce(text, F.lit("")))
+    return F.when(text.rlike("^[0-9a-f]{16}$"), text).when(digits != "", F.lpad(digits, 16, "0")).otherwise(F.coalesce(text, F.lit("")))
 
 
 def raw_events(spark: SparkSession, d: str) -> DataFrame:
