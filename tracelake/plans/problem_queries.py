@@ -109,7 +109,7 @@ plan AS (SELECT *, printf('%s-%05d-%06d', kind, 0, slot) AS target_file, pos - m
 _TOTALS_SQL = f"""WITH {EVENTS_SQL}, kv AS (
   SELECT 'fhash' AS field, fhash AS hot_key, duration, size FROM ev UNION ALL SELECT 'func_name', func_name, duration, size FROM ev),
 t AS (SELECT field, hot_key, count(*) AS n_events,
-  CAST(sum(CASE WHEN NOT isnan(duration) AND NOT isinf(duration) THEN TRY_CAST(duration AS DECIMAL(18,2)) END) AS DOUBLE) AS total_duration,
+  CAST(sum(CASE WHEN NOT isnan(duration) AND NOT isinf(duration) THEN TRY_CAST(duration AS DECIMAL(28,2)) END) AS DOUBLE) AS total_duration,
   CAST(sum(CASE WHEN size >= 0 THEN size END) AS BIGINT) AS total_size FROM kv GROUP BY field, hot_key)"""
 _KEY_SQL = "nullif(regexp_extract(lower({0}), '^\\s*(?:0x)?0*([0-9a-f]{{1,16}})\\s*$', 1), '')"
 _ORPHANS_SQL = f"""WITH {EVENTS_SQL},
@@ -126,12 +126,17 @@ o AS (SELECT ref_table, event_id, time_start, CASE WHEN n = 0 THEN 'missing' WHE
 # A csv field, its value within, and the value's rules, in the order of the columns.
 _FIELD = r'[ \t]*"(?:[^"]|"")*"[ \t]*|[^",]*'
 _VALUE = lambda c: f"""trim(CASE WHEN trim(f.{c}, ' ' || chr(9)) LIKE '"%' THEN replace(trim(f.{c}, ' ' || chr(9))[2:-2], '""', '"') ELSE f.{c} END, ' ' || chr(9))"""
-_CSV_OK = " AND ".join(f"regexp_full_match({_VALUE(c)}, '{rule.removeprefix('^').removesuffix('$') if '(?i)' not in rule else '(?i)(true|false)'}', 's')" for c, rule in ((c, r.replace("(?s)^", "^")) for c, r in rawlines.CSV_RULES.items()))
+_CSV_TESTS = {c: f"regexp_full_match({_VALUE(c)}, '{rule.removeprefix('^').removesuffix('$') if '(?i)' not in rule else '(?i)(true|false)'}', 's')" for c, rule in ((c, r.replace("(?s)^", "^")) for c, r in rawlines.CSV_RULES.items())}
+_CSV_OK = " AND ".join(_CSV_TESTS.values())
+_FIRST = lambda tests: "CASE " + " ".join(f"WHEN NOT coalesce({test}, false) THEN '{c}'" for c, test in tests.items()) + " END"
 _HAS = " AND ".join(f"json_exists(b, '$.{k}')" for k in rawlines.JSON_REQUIRED)
 _WHOLE = lambda k: f"(json_type(b, '$.{k}') IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT') AND NOT starts_with(json_extract_string(b, '$.{k}'), '-'))"
 _NAMED = lambda k: f"(json_type(b, '$.{k}') = 'VARCHAR' AND NOT regexp_full_match(json_extract_string(b, '$.{k}'), '\\s*'))"
-_JSON_OK = f"""{_NAMED("name")} AND {_NAMED("cat")} AND json_type(b, '$.ph') = 'VARCHAR' AND json_extract_string(b, '$.ph') IN ('X', 'M') AND {_WHOLE("pid")} AND {_WHOLE("tid")} AND {_WHOLE("ts")}
-  AND json_type(b, '$.dur') IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') AND TRY_CAST(json_extract_string(b, '$.dur') AS DOUBLE) >= 0 AND coalesce(json_type(b, '$.args'), 'OBJECT') = 'OBJECT'"""
+_JSON_TESTS = {
+    "name": _NAMED("name"), "cat": _NAMED("cat"), "ph": "(json_type(b, '$.ph') = 'VARCHAR' AND json_extract_string(b, '$.ph') IN ('X', 'M'))", **{k: _WHOLE(k) for k in ("pid", "tid", "ts")},
+    "dur": "(json_type(b, '$.dur') IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') AND TRY_CAST(json_extract_string(b, '$.dur') AS DOUBLE) >= 0)", "args": "coalesce(json_type(b, '$.args'), 'OBJECT') = 'OBJECT'",
+}
+_JSON_OK = " AND ".join(_JSON_TESTS.values())
 _LINES = f"""t AS (SELECT line_id, file_id, line_no, fmt, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS x FROM raw_lines),
 u AS (SELECT line_id, file_id, line_no, fmt, x, regexp_replace(x, ',$', '') AS b FROM t
   WHERE x NOT IN ('', '[', ']', '{{', '}}', '][') AND NOT (fmt = 'csv' AND x = '{",".join(rawlines.CSV_COLUMNS)}')),
@@ -162,6 +167,10 @@ SELECT line_id, file_id, line_no, v.* EXCLUDE (line_id), {_END_SQL}, true AS is_
 SQL = {
     "p3_found": _LINES_SQL,
     "p3_loaded": _LOADED_SQL,
+    "p3_reasons": f"""WITH {_LINES}, r AS (SELECT CASE WHEN NOT sound THEN 'quoting' ELSE 'columns' END AS reason, CAST(NULL AS VARCHAR) AS error_field FROM csv WHERE NOT sound OR n <> 12
+  UNION ALL SELECT 'value', {_FIRST(_CSV_TESTS)} FROM cut WHERE NOT ({_CSV_OK})
+  UNION ALL SELECT reason, CASE reason WHEN 'columns' THEN {_FIRST({k: f"json_exists(b, '$.{k}')" for k in rawlines.JSON_REQUIRED})} WHEN 'value' THEN {_FIRST(_JSON_TESTS)} END FROM js WHERE reason IS NOT NULL)
+SELECT reason, error_field, count(*) AS n_lines FROM r GROUP BY ALL""",
     "p3_totals": f"""SELECT CAST(NULL AS VARCHAR) AS reason, (WITH {_LINES} SELECT count(*) FROM u) - (SELECT count(*) FROM ({_LINES_SQL})) AS n_lines UNION ALL SELECT reason, count(*) FROM ({_LINES_SQL}) GROUP BY 1""",
     "p2_found": """WITH iv AS (SELECT pid, epoch, time_start AS s, time_end AS e FROM trace
   WHERE is_valid IS DISTINCT FROM false AND epoch >= 1 AND time_end >= time_start),

@@ -12,7 +12,7 @@ from pyarrow import fs
 def locate(path: str) -> tuple[fs.FileSystem, str]:
     """The filesystem that holds `path`, and its path there. `file:/x`, as Spark writes it, is a local path."""
     if "://" in path and not path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
+        return fs.FileSystem.from_uri("s3://" + path[6:] if path.startswith("s3a://") else path)  # Spark's name for it
     return fs.LocalFileSystem(), "/" + path[5:].lstrip("/") if path.startswith("file:") else path
 
 
