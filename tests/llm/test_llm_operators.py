@@ -252,10 +252,13 @@ def test_inclusion_follows_the_odds(spark, monkeypatch):
         for i, s, n in rows:
             if s == source:
                 by_step[math.floor(math.log2(n) * mixing.STEPS)].append((copies[i], n))
-        c = mixing.scale(want, {k: sum(n for _, n in v) for k, v in by_step.items()}, most, mixing.SIZE_POWER)
+        size = sum(n for v in by_step.values() for _, n in v)
+        base = int(want / size)
+        assert base == (0 if source == "a" else 2) and base < most
+        c = mixing.scale(want - base * size, {k: sum(n for _, n in v) for k, v in by_step.items()}, 1, mixing.SIZE_POWER)
         seen = 0
         for k, v in by_step.items():
-            e = min(most, c * mixing.weight(k, mixing.SIZE_POWER))
+            e = base + min(1, c * mixing.weight(k, mixing.SIZE_POWER))
             assert {x for x, _ in v} <= {math.floor(e + 1e-9), math.floor(e + 1e-9) + 1}  # whole copies are certain
             share = e - math.floor(e + 1e-9)
             off = abs(sum(x for x, _ in v) - e * len(v))

@@ -1,9 +1,10 @@
 """Mixing sources to target shares of the total size, by Pareto order sampling.
 
-A source's share of the mix says how often its documents occur on average; longer documents occur more often, by a
-power of their size, up to the source's most repeats. The whole part of a document's expected copies is certain. The
-rest is its inclusion odds in a sample without replacement: documents are ranked by their random odds divided by
-their inclusion odds, and the first ones that fill the missing size are taken. Where in the order the size is reached
+A source's share of the mix says how often its documents occur on average. The whole part of that is certain: as many
+copies of every document. The rest is a sample without
+replacement, in which longer documents have higher inclusion odds, by a power of their size; those whose odds reach
+one are certain too. Documents are ranked by their random odds divided by their inclusion odds, and the first ones
+that fill the missing size are taken. Where in the order the size is reached
 is found by histograms over narrower and narrower stretches of it. A gap that the next document is too large for is
 filled by the ones ranked after it that fit.
 """
@@ -52,7 +53,7 @@ def allocate(total: float, targets: Mapping[str, tuple[float, int, float]]) -> d
 
 
 def scale(want: float, sizes: Mapping[int, float], most: int, power: float) -> float:
-    """The c for which min(most, c * weight) copies of each step's tokens (`sizes`) come to `want` in all; infinite where most copies of all don't."""
+    """The c for which min(most, c * weight) of each step's tokens (`sizes`) come to `want` in all; infinite where `most` of all don't."""
     left, rest = want, sum(weight(k, power) * t for k, t in sizes.items())
     for k in sorted(sizes, reverse=True):  # the heaviest reach the most copies first
         if rest <= 0 or left / rest * weight(k, power) <= most:
@@ -91,8 +92,9 @@ def draw(sized: DataFrame, targets: DataFrame, seed: int = 11, power: float = SI
 
     The mix is as large as all documents together. Of every source of `targets` (source, target_share, max_repeats)
     it holds what `allocate` says, but for a gap that no document at the edge of the sample fits into; sources that
-    `targets` doesn't name, and documents without a source, give nothing. A document's expected copies are in
-    proportion to n_tokens^power, at most max_repeats; its draw depends on its id and the seed only. Repeated rows
+    `targets` doesn't name, and documents without a source, give nothing. Every document of a source has the same
+    whole copies and inclusion odds for one more in proportion to n_tokens^power, at most 1; its draw depends on its
+    id and the seed only. Repeated rows
     are drawn like different documents. Should a source be named twice, the row with the smaller share and repeats
     holds. `targets` is a setting, refused beyond MAX_SOURCES.
 
@@ -120,10 +122,12 @@ def draw(sized: DataFrame, targets: DataFrame, seed: int = 11, power: float = SI
 
     plan, missing = [], {}
     for s, (_, most) in setting.items():
-        c = scale(aim.get(s, 0.0), {k: t for k, (t, _) in steps[s].items()}, most, power)
+        want, size = aim.get(s, 0.0), have[s][0]
+        base = min(most, int(want / size + 1e-12)) if size else 0
+        c = scale(want - base * size, {k: t for k, (t, _) in steps[s].items()}, 1, power) if base < most else 0.0
         certain = 0
         for k, (tokens, _) in steps[s].items():
-            copies = float(most) if c == float("inf") else min(float(most), c * weight(k, power))
+            copies = base + min(1.0, c * weight(k, power))
             whole = int(copies + 1e-9)
             plan.append((s, k, whole, max(0.0, copies - whole)))
             certain += whole * tokens
