@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from helpers import random_trace, trace  # noqa: E402
 
 from tracelake.llm import digest, grouping, mixing, neardup, packing, queries, runs, tokens, truncation  # noqa: E402
+from tracelake.operators import bits  # noqa: E402
 from tracelake.plans.parity import differences  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -425,6 +426,49 @@ def test_hot_texts_meet_once(spark):
     assert {k for k, v in got.items() if v == 1} == set(range(300, 404))
 
 
+def test_meetings_dont_grow_with_the_texts_of_a_key(spark):
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**6)}" for _ in range(60)]
+    whole = [" ".join(words) + f" and then number {i} ends." for i in range(300)]
+    cuts = [" ".join(words[:n])[:-1] for n in range(8, 60)]
+    docs = documents(spark, [(i, "s", t) for i, t in enumerate([*whole, *cuts])]).withColumn("copy", F.xxhash64("text"))
+    asking = truncation.score(docs, np.zeros(truncation.WEIGHTS, np.float32), frozenset(), 0.0).filter("last is not null").select("copy", "last", "keys")
+    assert neardup.meetings(docs, asking).count() <= 52 * neardup.BANDS  # and not a row for each of the 300 texts at each key
+
+
+def test_asking_texts_of_several_passes(spark):
+    r = random.Random(10)
+    words = lambda n: " ".join(f"w{r.randrange(10**8):08}" for _ in range(n))
+    rows = []
+    for k in range(3):
+        head = [words(1) for _ in range(60_000)]
+        changed = [w if i % 5 else "x" for i, w in enumerate(head[:-10])] + head[-10:]
+        rows += [(10 * k, "s", " ".join(head)[:-2]), (10 * k + 1, "s", " ".join(head) + " goes on."), (10 * k + 2, "s", " ".join(changed) + " " + words(50) + ".")]
+    docs = documents(spark, rows).withColumn("copy", F.xxhash64("text")).cache()
+    asking = truncation.score(docs, np.zeros(truncation.WEIGHTS, np.float32), frozenset(), 0.0).filter("last is not null").select("copy", "last", "keys")
+    own = neardup.own_keys(docs, asking).withColumnRenamed("band_keys", "asked").join(asking, "copy")
+    assert sum(len(t) for i, _, t in rows if i % 10 == 0) > 1 << 20
+    for width in (1, 64):
+        said = truncation.by_others(own, docs.select("copy", "text"), width)
+        assert {x.doc_id: x.verdict for x in docs.join(said, "copy").collect()} == {0: 1, 10: 1, 20: 1}
+
+
+def test_a_dash_may_stand_apart_in_the_copy(spark):
+    whole = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, "s", whole + " foo\u2014ba"), (2, "s", whole + " foo - bar and so on.")]
+    assert verdicts(spark, rows) == {1: 1}
+
+
+def test_a_place_that_a_copy_has_twice():
+    """Where one of them goes on as asked, the other counts too, but not a third at the end with a shorter word."""
+    _, b = next(neardup.blocks(["a b c d e port x a b c d e pipe y a b c d e p", "a b c d e pi", "q a b c d e pipe"]))
+    _, ask = next(neardup.blocks(["a b c d e po"]))
+    _, place, begun = ask.last()
+    asked = bits.table_of(ask.places[place].view(np.int64)), bits.table_of(neardup._joined(ask.places[place], begun).view(np.int64))
+    at, how = b.stems(*asked, [False] * 3)
+    assert at.tolist() == [0, 7] and set(how.tolist()) == set(begun.tolist())
+
+
 def test_words_and_shingles_whatever_the_batch():
     r = random.Random(2)
     texts = ["", "  ", "Ünïcode wörds, and_underscores 12", "a b c d e f", "x" * 3000, *[" ".join(r.choice(["Alpha", "béta", "-", "c3"]) for _ in range(r.randint(0, 40))) for _ in range(60)], "tail " * 30_000]

@@ -28,3 +28,10 @@ def test_full_tables_only_let_more_rows_pass(spark, monkeypatch):
     assert len(got) == 703 and {r.event_id for r in got} == {None, *range(700)}
     assert np.sum([r.func_name == "x" for r in got]) == 3
     assert {r.event_id: r.func_name for r in got if r.event_id is not None} == {i: min(f"f{i}", f"f{i + 700}" if i < 300 else "g") for i in range(700)}
+
+
+def test_a_table_made_on_the_driver_is_the_same(spark):
+    keys = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 3000)
+    df = spark.createDataFrame([(int(k),) for k in keys], "k long")
+    for words in (None, 64):
+        assert (bits.table_of(keys, words) == bits.as_array(bits.bit_table(df, "k", words), words)).all()

@@ -5,15 +5,19 @@ texts they may differ in nearly everything. So an asking text's signature covers
 whole one, and a copy's signature is taken at every place where that last shingle stands in it: the two sets are
 near copies of each other if the texts are. A band's key joins the shingle, how the next word begins and six
 min-hashes, so texts meet only if they share the words at the end and, with probability 1 - (1 - s^6)^20 (0.998 at
-a similarity of 0.8, 1 for a plain cut), those before. Where only the last word is left to compare, the key holds
-all of the asking text's last word, which must be the beginning of a longer one. Bit tables of fixed size keep
-nearly all other keys from being made or moved at all.
+a similarity of 0.8, 1 for a plain cut), those before. The key also holds the asking text's last word, with which
+the copy's next word must begin.
+
+What is moved grows with the asking texts, not with the places or keys at which others go on. First only the stems
+(the last shingle and the last word) of asking texts are looked for, and each task combines what it finds per stem;
+texts whose stem stands nowhere else ask no further. Keys are made for the others only, and of the texts that go
+on at a key each task keeps the one that goes on for longest. Bit tables of bounded size keep nearly all other
+stems and keys from being moved at all.
 """
 
 from __future__ import annotations
 
 import functools
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.bits import as_array, bit_table, perhaps, with_bit
-from tracelake.operators.chunked import running
+from tracelake.operators.bits import WORDS, as_array, bit_table, perhaps, with_bit
 from tracelake.session import cut, ship
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -30,8 +33,10 @@ BANDS, ROWS = 20, 6
 _BLOCK = 8192
 #: Places whose keys are made at once.
 _PLACES = 4096
-#: Size of the bit table of asked keys, in words of 64 bits.
-KEY_WORDS = 1 << 20
+#: Most words of 64 bits that a bit table of asked places, stems or keys has.
+MOST_WORDS = 1 << 22
+#: Bytes of a last word that a stem holds at most.
+STEM_BYTES = 24
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -48,8 +53,8 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begins, ends and hashes of the words of some bytes: each a polynomial of its bytes, all by running sums."""
+def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of the words of some bytes; the running sums, and for each word the factor, by which `hashed` gives hashes of words and of how they begin."""
     b = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = _IN_WORD[b]
@@ -63,8 +68,14 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[:-1], out=upto[1:])
         back = np.full(len(b) + 1, _INVERSE, np.uint64)
         back[0] = 1
-        hashes = _scramble((upto[ends] - upto[begins]) * np.cumprod(back)[begins])
-    return begins, ends, hashes
+        back = np.cumprod(back)[begins]
+    return begins, ends, upto, back
+
+
+def hashed(begins: np.ndarray, ends: np.ndarray, upto: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes, each a polynomial of its bytes."""
+    with np.errstate(over="ignore"):
+        return _scramble((upto[ends] - upto[begins]) * back)
 
 
 def _joined(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
@@ -79,7 +90,8 @@ class Block:
 
     def __init__(self, coded: Sequence[bytes]):
         self.data = b" ".join(coded)
-        self.begins, self.ends, self.hashes = words(self.data)
+        self.begins, self.ends, self.upto, self.back = words(self.data)
+        self.hashes = hashed(self.begins, self.ends, self.upto, self.back)
         n = len(self.hashes)
         self.starts = np.append(np.searchsorted(self.begins, np.cumsum([0] + [len(c) + 1 for c in coded[:-1]])), n)
         self.owner = np.repeat(np.arange(len(coded)), np.diff(self.starts))
@@ -95,10 +107,58 @@ class Block:
         head[:n] = np.frombuffer(self.data, np.uint8)[self.begins]
         self.places = _joined(self.shingles, head[SHINGLE_WORDS:])
 
-    def last(self, text: int) -> bytes:
-        """The last word of a text that has one."""
-        i = self.starts[text + 1] - 1
-        return self.data[self.begins[i] : self.ends[i]]
+    def begun(self, word: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Hashes of the first `size` bytes of words."""
+        return hashed(self.begins[word], self.begins[word] + size, self.upto, self.back[word])
+
+    def last(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text that has a place: its number, its last place, and the hash of its last word, which may be cut.
+
+        Of that word only what stands before its first byte that isn't ASCII (but at least a byte), and STEM_BYTES
+        at most: a dash or quote that isn't ASCII may stand apart in a copy.
+        """
+        texts = np.flatnonzero(np.diff(self.starts) > SHINGLE_WORDS)
+        word = self.starts[texts + 1] - 1
+        size = []
+        for a, z in zip(self.begins[word].tolist(), self.ends[word].tolist()):
+            w = self.data[a : min(z, a + STEM_BYTES)]
+            size.append(max(1, len(w) if w.isascii() else next(i for i, c in enumerate(w) if c > 127)))
+        return texts, word - SHINGLE_WORDS, self.begun(word, np.array(size, np.int64))
+
+    def stems(self, asked: np.ndarray, stems: np.ndarray, full: Sequence[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Places, and the hash of how the next word begins, where `asked` (places) and `stems` (those with that hash) may be asked for.
+
+        What ends there too has to end with a longer word, or with a full stop (`full`, of each text). Where a text
+        has a place several times and one of them goes on as asked, all where it goes on count: what stands before
+        another of them may be more like the asking text.
+        """
+        hits = np.flatnonzero(self.followed & perhaps(asked, self.places.view(np.int64)))
+        word = hits + SHINGLE_WORDS
+        most = self.ends[word] - self.begins[word]
+        closing = word + 1 == self.starts[self.owner[word] + 1]
+        most -= closing & ~np.asarray(full, bool)[self.owner[word]]
+        inner = hits[~closing]
+        at, begun = [], []
+        for n in range(1, min(STEM_BYTES, int(most.max(initial=0))) + 1):
+            some = most >= n
+            hits, word, most = hits[some], word[some], most[some]
+            h = self.begun(word, n)
+            found = perhaps(stems, _joined(self.places[hits], h).view(np.int64))
+            at.append(hits[found])
+            begun.append(h[found])
+        if not at:
+            return hits, np.zeros(0, np.uint64)
+        at, begun = np.concatenate(at), np.concatenate(begun)
+        of = _joined(self.places[inner], self.owner[inner])  # a text's place, wherever it stands
+        order = np.argsort(of, kind="stable")
+        asks = np.unique(np.stack([_joined(self.places[at], self.owner[at]), begun]), axis=1)
+        low, high = np.searchsorted(of[order], asks[0], "left"), np.searchsorted(of[order], asks[0], "right")
+        n = high - low
+        each = inner[order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]]
+        last = at + SHINGLE_WORDS + 1 == self.starts[self.owner[at] + 1]
+        at, begun = np.concatenate([each, at[last]]), np.concatenate([np.repeat(asks[1], n), begun[last]])
+        order = np.argsort(at, kind="stable")
+        return at[order], begun[order]
 
     def minima(self, at: np.ndarray) -> np.ndarray:
         """The min-hashes of the shingles from the text's first to each of `at` (rows), which ascend."""
@@ -131,13 +191,11 @@ class Block:
         return _scramble(h).view(np.int64)
 
     def asking(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Of each text that has a place: its number, its last place, and its keys there: one per band for texts that go on, one for those that
-        end with a longer word. The last word itself may be cut."""
-        texts = np.flatnonzero(np.diff(self.starts) > SHINGLE_WORDS)
-        at = self.starts[texts + 1] - 1 - SHINGLE_WORDS
+        """Of each text that has a place: its number, its last place, and its keys there, one per band."""
+        texts, at, begun = self.last()
         for k in range(0, len(at), _PLACES):
-            for text, place, own in zip(texts[k : k + _PLACES].tolist(), self.places[at[k : k + _PLACES]].view(np.int64).tolist(), self.keys(at[k : k + _PLACES])):
-                yield text, place, np.concatenate([own, _ending(own, zlib.crc32(self.last(text)))])
+            keys = _joined(self.keys(at[k : k + _PLACES]).view(np.uint64), begun[k : k + _PLACES, None]).view(np.int64)
+            yield from zip(texts[k : k + _PLACES].tolist(), self.places[at[k : k + _PLACES]].view(np.int64).tolist(), keys)
 
 
 def _segment_minima(short: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -168,90 +226,155 @@ def blocks(texts: Sequence[str], enough: int = 1 << 19) -> Iterator[tuple[int, B
         first = last
 
 
-def _ending(keys: np.ndarray, word: int) -> np.ndarray:
-    return _joined(keys.view(np.uint64), word).view(np.int64)
+def shingle_sets(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of a text, and those that a word follows."""
+    _, b = next(blocks([text]))
+    return np.unique(b.shingles[b.whole]), np.unique(b.shingles[b.followed])
 
 
 @functools.lru_cache(512)
 def _sets(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The different shingles of a text, and those that a word follows. A text is compared with several others, one after another."""
-    _, b = next(blocks([text]))
-    return np.unique(b.shingles[b.whole]), np.unique(b.shingles[b.followed])
+    """A text is compared with several others, one after another."""
+    return shingle_sets(text)
+
+
+def share_in(x: np.ndarray, y: np.ndarray) -> float:
+    return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else 0.0
 
 
 def contained(a: str, b: str) -> float:
     """The share of the different shingles of `a`, its last word left out, that `b` has too."""
-    x, y = _sets(a)[1], _sets(b)[0]
-    return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else 0.0
+    return share_in(_sets(a)[1], _sets(b)[0])
 
 
-MET = "key long, asks boolean, copy long, rest int"
+GOES_ON = "key long, copy long, rest int"
 
 
-def meetings(docs: DataFrame, asking: DataFrame) -> DataFrame:
-    """Rows of MET: the keys at which texts of `docs` (copy, text) go on where one of `asking` (copy, keys, last) ends, and those texts' own.
+def last_places(texts: Sequence[str]) -> Iterator[tuple[int, int, int]]:
+    """Of each text that has a place: its number, its last place, and its stem: that place and the last word."""
+    for first, block in blocks(texts):
+        of, at, begun = block.last()
+        yield from zip((first + of).tolist(), block.places[at].view(np.int64).tolist(), _joined(block.places[at], begun).view(np.int64).tolist())
+
+
+def table_words(keys: int) -> int:
+    """Words of a bit table for so many keys: one for each, but at least WORDS and at most MOST_WORDS."""
+    return min(MOST_WORDS, max(WORDS, 1 << max(0, keys - 1).bit_length()))
+
+
+def _tables(asking: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    size = table_words(n)
+    return as_array(bit_table(asking, "last", size), size), as_array(bit_table(asking, "keys", size), size)
+
+
+def full_stops(texts: Sequence[str]) -> list[bool]:
+    return [t.rstrip().endswith((".", "!", "?")) for t in texts]
+
 
-    `copy`: a hash that tells texts apart; `rest`: words that follow. A text meets others at any number of places.
-    One row per key, text and side, of keys at which one text asks and another goes on. The bit tables hold which
-    places and which keys are asked for, and then which keys are met; they are of fixed size.
+def met_texts(docs: DataFrame, asking: DataFrame) -> DataFrame:
+    """Those of `asking` (copy, last, keys: as `last_places` gives them) at whose stem another text of `docs` (copy, text) goes on.
+
+    A row per stem and task is moved, however many texts go on there.
     """
     spark = docs.sparkSession
     ship(spark)
-    own = asking.select(F.explode("keys").alias("key"), F.lit(True).alias("asks"), "copy", F.lit(0).alias("rest"))
-    tables = spark.sparkContext.broadcast((as_array(bit_table(asking.select("last"), "last")), as_array(bit_table(own.select("key"), "key", KEY_WORDS), KEY_WORDS)))
+    tables = spark.sparkContext.broadcast(_tables(asking, asking.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, keys = tables.value
+        asked, stems = tables.value
         for b in batches:
             copies = b.column(0).to_numpy(zero_copy_only=False)
             texts = b.column(1).to_pylist()
-            found, where, rest = [], [], []
+            full = full_stops(texts)
+            for first, block in blocks(texts):
+                at, begun = block.stems(asked, stems, full[first : first + len(block.starts) - 1])
+                if len(at):
+                    yield pa.record_batch([pa.array(_joined(block.places[at], begun).view(np.int64)), pa.array(copies[first + block.owner[at]])], names=["keys", "other"])
+
+    found = docs.select("copy", "text").mapInArrow(run, "keys long, other long").groupBy("keys").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
+    return asking.join(found, "keys").filter("lo <> copy or hi <> copy").select("copy", "last", "keys")
+
+
+def own_keys(docs: DataFrame, asking: DataFrame) -> DataFrame:
+    """copy, band_keys of the texts of `asking` (copy), whose texts are read from `docs` (copy, text) once more."""
+    from tracelake.llm.truncation import ending
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            copies = b.column(0).to_pylist()
+            for first, block in blocks([ending(t)[0] for t in b.column(1).to_pylist()]):
+                rows = [(copies[first + i], k) for i, _, k in block.asking()]
+                yield pa.record_batch([pa.array([c for c, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.list_(pa.int64()))], names=["copy", "band_keys"])
+
+    size = table_words(asking.count())
+    some = with_bit(docs.select("copy", "text"), "copy", bit_table(asking, "copy", size), "_tl_in", size).filter("_tl_in").select("copy", "text")
+    made = some.mapInArrow(run, "copy long, band_keys array<long>").groupBy("copy").agg(F.first("band_keys").alias("band_keys"))
+    return made.join(asking.select("copy"), "copy", "left_semi")
+
+
+def going_on(docs: DataFrame, asking: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of GOES_ON: the texts of `docs` (copy, text) that go on at one of `keys` (key), which texts of `asking` (last, keys) ask for, perhaps among others that nobody asks for.
 
-            def add(k: np.ndarray, text: np.ndarray, left: np.ndarray) -> None:
-                hit, band = np.nonzero(perhaps(keys, k))
-                found.append(k[hit, band])  # noqa: B023
-                where.append(copies[text[hit]])  # noqa: B023
-                rest.append(left[hit])  # noqa: B023
+    `rest`: words that follow. A text may come more than once at a key only if `docs` has it more than once.
+    """
+    spark = docs.sparkSession
+    size = table_words(keys.count())
+    tables = spark.sparkContext.broadcast((*_tables(asking, asking.count()), as_array(bit_table(keys, "key", size), size)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, stems, wanted = tables.value
+        for b in batches:
+            copies = b.column(0).to_numpy(zero_copy_only=False)
+            texts = b.column(1).to_pylist()
+            full = full_stops(texts)
             for first, block in blocks(texts):
-                hits = np.flatnonzero(block.followed & perhaps(asked, block.places.view(np.int64)))
-                for i in range(0, len(hits), _PLACES):
-                    at = hits[i : i + _PLACES]
-                    k, text = block.keys(at), block.owner[at]
-                    left = block.starts[text + 1] - at - SHINGLE_WORDS
-                    add(k[left > 1], first + text[left > 1], left[left > 1])
-                    for j in np.flatnonzero(left == 1):  # what ends there too has to end with a shorter word, or without the full stop
-                        word = block.last(int(text[j]))
-                        begun = [zlib.crc32(word[:n]) for n in range(1, len(word) + texts[first + text[j]].rstrip().endswith((".", "!", "?")))]
-                        if begun:
-                            add(_ending(k[j][None, :], np.array(begun)[:, None]), np.full(len(begun), first + text[j]), np.ones(len(begun), np.int64))
-            if found:
-                key = pa.array(np.concatenate(found))
-                yield pa.record_batch([key, pa.array(np.zeros(len(key), bool)), pa.array(np.concatenate(where)), pa.array(np.concatenate(rest).astype(np.int32))], names=["key", "asks", "copy", "rest"])
-
-    others = cut(docs.select("copy", "text").mapInArrow(run, MET).groupBy("key", "copy", "asks").agg(F.max("rest").alias("rest")))
-    met = with_bit(own, "key", bit_table(others, "key"), "_tl_met").filter("_tl_met").drop("_tl_met").unionByName(others)
-    both = met.groupBy("key").agg(F.bool_or("asks").alias("a"), F.bool_or(~F.col("asks")).alias("z")).filter("a and z")
-    return met.join(both.select("key"), "key", "left_semi")
+                at, begun = block.stems(asked, stems, full[first : first + len(block.starts) - 1])
+                for i in range(0, len(at), _PLACES):
+                    here, of = np.unique(at[i : i + _PLACES], return_inverse=True)
+                    k = _joined(block.keys(here).view(np.uint64)[of], begun[i : i + _PLACES, None]).view(np.int64)
+                    hit, band = np.nonzero(perhaps(wanted, k))
+                    if not len(hit):
+                        continue
+                    place = here[of[hit]]
+                    key, text = k[hit, band], block.owner[place]
+                    rest = (block.starts[text + 1] - place - SHINGLE_WORDS).astype(np.int32)
+                    order = np.lexsort((-rest, text, key))
+                    once = np.ones(len(order), bool)
+                    once[1:] = (np.diff(key[order]) != 0) | (np.diff(text[order]) != 0)
+                    order = order[once]
+                    yield pa.record_batch([pa.array(key[order]), pa.array(copies[first + text[order]]), pa.array(rest[order])], names=["key", "copy", "rest"])
+
+    return docs.select("copy", "text").mapInArrow(run, GOES_ON)
 
 
-def first_partners(met: DataFrame) -> DataFrame:
-    """copy, partner: for each asking text, at each of its keys, the text that goes on for longest.
+def meetings(docs: DataFrame, asking: DataFrame) -> DataFrame:
+    """key, copy, partner, n: the keys of texts of `asking` (copy, last, keys) at which a text of `docs` (copy, text) goes on.
 
-    A key of any size gives at most one pair per asking text, by an aggregate that combines before the shuffle.
+    `partner`: the text that goes on for longest there; `n`: how many do, or more. Each task combines the texts of
+    a key before they are moved, so a key of any size moves a row per task.
     """
-    heads = met.filter("not asks").groupBy("key").agg(F.max(F.struct("rest", "copy")).alias("head"))
-    pairs = met.filter("asks").join(heads, "key").filter(F.col("head.copy") != F.col("copy"))
-    return pairs.select("copy", F.col("head.copy").alias("partner")).distinct()
+    ship(docs.sparkSession)
+    own = cut(own_keys(docs, asking)).select("copy", F.explode("band_keys").alias("key"))
+    heads = going_on(docs, asking, own).groupBy("key").agg(F.max(F.struct("rest", "copy")).alias("head"), F.count(F.lit(1)).alias("n"))
+    return own.join(heads, "key").select("key", "copy", F.col("head.copy").alias("partner"), "n")
 
 
-def ranked(met: DataFrame) -> DataFrame:
-    """key, rank, partner: the texts that go on, numbered within their key from the longest rest. A key of any size spans many chunks."""
-    rows = met.filter("not asks").select("key", (-F.col("rest")).alias("by"), F.col("copy").alias("partner"), F.lit(1).alias("one"))
-    return running(rows, ["key"], ["by", "partner"], {"rank": ("one", "sum")}).select("key", "rank", "partner")
+def first_partners(met: DataFrame) -> DataFrame:
+    """copy, partner: for each asking text, at each of its keys, the text that goes on for longest."""
+    return met.filter("copy <> partner").select("copy", "partner").distinct()
 
 
-def next_partners(asks: DataFrame, members: DataFrame, done: int, width: int) -> DataFrame:
-    """copy, partner, step: the members ranked done + 1 to done + width of each key of `asks`."""
-    pairs = asks.join(members.filter(F.col("rank").between(done + 1, done + width)), "key").filter(F.col("partner") != F.col("copy"))
-    return pairs.groupBy("copy", "partner").agg(F.min("rank").alias("step"))
+def members(block: Block, stems: tuple[np.ndarray, np.ndarray], full: Sequence[bool], keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the texts of `block` that go on at one of `keys` (sorted): which key, the text and the words that follow.
+
+    `stems`: the bit tables of places and stems that the texts of those keys ask for.
+    """
+    at, begun = block.stems(*stems, full)
+    for i in range(0, len(at), _PLACES):
+        here, of = np.unique(at[i : i + _PLACES], return_inverse=True)
+        k = _joined(block.keys(here).view(np.uint64)[of], begun[i : i + _PLACES, None]).view(np.int64)
+        which = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        hit, band = np.nonzero(keys[which] == k)
+        place = here[of[hit]]
+        text = block.owner[place]
+        yield which[hit, band], text, block.starts[text + 1] - place - SHINGLE_WORDS

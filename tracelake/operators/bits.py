@@ -47,6 +47,17 @@ def as_array(table: DataFrame, words: int | None = None) -> np.ndarray:
     return out
 
 
+def table_of(keys: np.ndarray, words: int | None = None) -> np.ndarray:
+    """What `as_array` gives for the set of `keys`."""
+    out = np.zeros(words or WORDS, np.int64)
+    h = _xxhash64(keys)
+    mask = np.zeros(len(h), np.int64)
+    for by in _BITS:
+        mask |= np.int64(1) << ((h >> by) & 63)
+    np.bitwise_or.at(out, (h >> 6) & (len(out) - 1), mask)
+    return out
+
+
 def perhaps(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each of `keys` is perhaps in the set of `as_array`."""
     h = _xxhash64(keys)
